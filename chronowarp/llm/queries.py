@@ -39,8 +39,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component at 0.85 over three-word shingles."""
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sharding": op10_sharding, "op4_packing": op4_packing}
+    return {"op10_sharding": op10_sharding, "op4_packing": op4_packing, "op6_minhash": op6_minhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,9 @@ from pyspark.sql import window as W
 
 from . import scratch
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
+#: At least so many buckets, so that small inputs are spread too.
+LEAST_BUCKETS = 64
 OUTPUTS = ("shard", "slot")
 _BUCKET, _PLACE = "__bucket", "__place"
 
@@ -43,7 +45,7 @@ def shuffled(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES,
     """Scatter and shuffle: the rows of ``docs`` with ``__bucket`` and ``__place``, written once in shuffled order."""
     docs = docs.drop(_BUCKET, _PLACE)
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64)).first()[0] or 1
-    buckets = max(1, math.ceil(size / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, math.ceil(size / bucket_bytes))
     dealt = docs.withColumn(_BUCKET, F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     schema = T.StructType([*dealt.schema.fields, T.StructField(_PLACE, T.LongType())])
 
