@@ -33,45 +33,79 @@ from . import scratch
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Where a piece was made: input partition, and rank there among pieces of its length.
 PLACES = ("__part", "__rank")
 Pattern = tuple[int, tuple[int, ...]]
 
 
 class _WordIds(dict):
-    """White-space word to its ids as little-endian unsigned 32-bit bytes; emptied when it holds ``CACHE_WORDS``."""
+    """White-space word to its ids as little-endian unsigned 32-bit bytes; emptied when it holds ``CACHE_WORDS``.
+
+    The tokenizer drops white space, never looks across it, and splits letters from punctuation, so the ids of a text
+    are those of its words in turn.  Words not met before are encoded together, and told apart by their last token.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+    def learn(self, words: list[str]) -> None:
+        words = [w for w in words if len(w) <= 64]
+        if len(self) + len(words) > CACHE_WORDS:
             self.clear()
-        if len(word) > 1 and word.isascii():
-            low = word.lower()
-            if low[-1] in ".," and low[:-1].isalpha():  # letters and punctuation are encoded apart
-                found = self[low[:-1]] + self[low[-1]]
-            elif low != word:
-                found = self[low]
+        stems = {}
+        for w in words:
+            stem, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            if stem.isalpha():
+                stems[w] = stem, tail
+        fresh = [w for w in {stem for stem, _ in stems.values()} if w not in self]
+        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype=np.uint32)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) == len(fresh):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(fresh, ends.tolist(), strict=True):
+                self[w] = raw[at:end]
+                at = end
+        else:  # a letter that folds into more than letters
+            for w in fresh:
+                self[w] = self.encode(w)
+        for c in ".,":
+            if c not in self:
+                self[c] = self.encode(c)
+        for w in words:
+            if w in stems:
+                stem, tail = stems[w]
+                self[w] = self[stem] + self[tail] if tail else self[stem]
             else:
-                found = self.encode(word)
-        else:
-            found = self.encode(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+                self[w] = self.encode(w)
 
     def text(self, text: str) -> bytes:
-        """Ids of a text: those of its words in turn, as the tokenizer drops white space and never looks across it."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        words = text.split()
+        found = list(map(self.get, words))
+        if None in found:
+            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
+            found = [self[w] if w in self else self.encode(w) for w in words]
+        return b"".join(found)
+
+
+_WORDS: dict[str, _WordIds] = {}
+
+
+def _word_ids(file: str) -> _WordIds:
+    """One cache a worker process, kept from task to task."""
+    if file not in _WORDS:
+        _WORDS[file] = _WordIds(file)
+    return _WORDS[file]
 
 
 def default_tokenizer() -> str:
@@ -96,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = _WordIds(tokenizer or default_tokenizer()), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        words, part, seen = _word_ids(tokenizer or default_tokenizer()), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end, step = array("I", [END_ID]).tobytes(), capacity * 4
         rows: list[tuple] = []
 

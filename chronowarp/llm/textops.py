@@ -14,6 +14,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Of a byte: 0 white space, 1 letter or part of a character beyond ASCII, 2 digit, 3 punctuation or control.
+_KIND = np.array([0 if c == 32 or 9 <= c <= 13 else 2 if 48 <= c <= 57 else 1 if c >= 128 or chr(c).isalpha() else 3 for c in range(256)], dtype=np.uint8)
 _POW: dict[str, np.ndarray] = {}
 
 
@@ -58,16 +60,46 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after[1:]) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
+    def spans_hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the lower-cased byte spans."""
+        if not hasattr(self, "_total"):
+            n = len(self.data)
+            self._total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(n + 1)[0][:n], out=self._total[1:])
+        return mix((self._total[ends] - self._total[starts]) * _powers(len(self.data) + 1)[1][starts])
+
     @property
     def hashes(self) -> np.ndarray:
         if not hasattr(self, "_hashes"):
-            n = len(self.data)
-            power, inverse = _powers(n + 1)
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-            self._hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+            self._hashes = self.spans_hashed(self.starts, self.ends)
         return self._hashes
 
+    def stems(self, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Word spans without up to ``rounds`` bytes of ASCII punctuation at either end (one byte stays)."""
+        d, starts, ends = self.data, self.starts.copy(), self.ends.copy()
+        for _ in range(rounds):
+            starts += (_KIND[d[starts]] == 3) & (ends - starts > 1)
+            ends -= (_KIND[d[ends - 1]] == 3) & (ends - starts > 1)
+        return starts, ends
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of one kind inside words (letters, digits, punctuation): starts, ends, each text's first run."""
+        kind = _KIND[self.data]
+        new = np.ones(len(kind) + 1, dtype=bool)
+        new[1:-1] = kind[1:] != kind[:-1]
+        new[self.offsets] = True
+        at = np.flatnonzero(new)
+        starts, ends = at[:-1], at[1:]
+        solid = kind[starts] != 0 if len(starts) else np.zeros(0, dtype=bool)
+        starts, ends = starts[solid], ends[solid]
+        return starts, ends, np.searchsorted(starts, self.offsets)
+
+    def points(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Code points before byte ``at`` in its text."""
+        before = np.zeros(len(self.data) + 1, dtype=np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=before[1:])
+        return before[at] - before[self.offsets[text]]
+
     def word(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
 
