@@ -69,8 +69,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality, spark, sf_dir, "quality", 4, 2)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    from . import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (pii.counted("base_spans", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality, op4_packing, op6_minhash, op10_sharding)
+    own = (op1_toxicity, op2_quality, op4_packing, op6_minhash, op8_pii, op10_sharding)
     return {f.__name__: f for f in own}
 
 
