@@ -41,6 +41,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive word hashes (k or more of them)."""
+    n = len(h) - k + 1
+    run = h[:n].copy()
+    for j in range(1, k):
+        run *= np.uint64(_BASE)
+        run += h[j : n + j]
+    return mix(run)
+
+
 class Words:
     """Words of consecutive texts: byte spans, hashes, and each text's first word (``first``, one more at the end)."""
 
@@ -106,13 +116,8 @@ class Words:
     def shingles(self, k: int) -> Iterator[np.ndarray]:
         """For each text its k-word shingle hashes in order (int64); fewer words: the whole sequence as one."""
         h = self.hashes
-        n = len(h)
-        if n >= k:
-            run = h[: n - k + 1].copy()
-            for j in range(1, k):
-                run *= np.uint64(_BASE)
-                run += h[j : n - k + 1 + j]
-            run = mix(run).view(np.int64)
+        if len(h) >= k:
+            run = rolled(h, k).view(np.int64)
         for a, b in zip(self.first[:-1], self.first[1:], strict=True):
             if b - a >= k:
                 yield run[a : b - k + 1]
