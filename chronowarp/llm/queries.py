@@ -30,6 +30,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.93 within its label, and its component."""
+    from . import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a sequence of at most 2048 tokens."""
     from . import packing
@@ -86,7 +93,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality, op4_packing, op5_substring, op6_minhash, op8_pii, op10_sharding)
+    own = (op1_toxicity, op2_quality, op3_embeddings, op4_packing, op5_substring, op6_minhash, op8_pii, op10_sharding)
     return {f.__name__: f for f in own}
 
 
