@@ -83,6 +83,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality, spark, sf_dir, "quality", 4, 2)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors to every vector whose id is divisible by 20."""
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base spans, and all spans."""
     from . import pii
@@ -93,7 +100,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality, op3_embeddings, op4_packing, op5_substring, op6_minhash, op8_pii, op10_sharding)
+    own = (op1_toxicity, op2_quality, op3_embeddings, op4_packing, op5_substring, op6_minhash, op7_ann, op8_pii, op10_sharding)
     return {f.__name__: f for f in own}
 
 
