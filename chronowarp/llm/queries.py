@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids by number and checksum, and the checksum of the text read back from them."""
+    from . import pieces
+
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    text, back = (F.crc32(F.coalesce(c, F.lit("")).cast("binary")) for c in ("text", "decoded"))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), text.alias("text_crc32"), back.alias("decoded_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under the law ``rows``."""
     from . import sharding
@@ -100,7 +109,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality, op3_embeddings, op4_packing, op5_substring, op6_minhash, op7_ann, op8_pii, op10_sharding)
+    own = (op1_toxicity, op2_quality, op3_embeddings, op4_packing, op5_substring, op6_minhash, op7_ann, op8_pii, op9_pieces, op10_sharding)
     return {f.__name__: f for f in own}
 
 

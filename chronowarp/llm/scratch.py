@@ -38,6 +38,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, tag))
 
 
+def keep(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written and read back, and its path; ``clear`` leaves it alone."""
+    path = write(df, tag)
+    _LIVE[df.sparkSession.sparkContext.applicationId].remove(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete one written table."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
