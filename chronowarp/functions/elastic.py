@@ -61,16 +61,17 @@ def dtw_path(a: Column | str, b: Column | str, exponent: Number | Cost = 2, wind
     point = cost(exponent)
 
     def body(a: Column, b: Column, w: Column) -> Column:
-        def step(c: Cell) -> Column:
-            apart = F.abs(c.i - c.j)
-            inf = F.lit(math.inf)
-            d, left, top = (F.coalesce(x["d"], inf) for x in (c.diagonal, c.left, c.top))
-            here = point(c.a, c.b)
-            made = lambda before, value, dev: F.struct((value + here).alias("d"), dev.alias("w"))
+        inf = F.lit(math.inf)
+
+        def chosen(q: Column, left: Column, top: Column, here: Column, apart: Column) -> Column:
+            dq, dl, dt = (F.coalesce(x["d"], inf) for x in (q, left, top))
+            made = lambda before, dev: F.struct((before["d"] + here).alias("d"), dev.alias("w"))
             off = lambda x: F.greatest(x["w"], apart)
-            straight = (d <= left) & (d <= top)
-            chosen = F.when(straight, made(c.diagonal, d, c.diagonal["w"])).when(left <= top, made(c.left, left, off(c.left))).otherwise(made(c.top, top, off(c.top)))
-            return F.when(F.least(d, left, top) < inf, chosen)
+            best = F.when((dq <= dl) & (dq <= dt), made(q, q["w"])).when(dl <= dt, made(left, off(left))).otherwise(made(top, off(top)))
+            return F.when(F.least(dq, dl, dt) < inf, best)
+
+        def step(c: Cell) -> Column:
+            return bind({"q": c.diagonal, "left": c.left, "top": c.top, "here": point(c.a, c.b), "apart": F.abs(c.i - c.j)}, chosen)
 
         return wavefront(a, b, lambda c: F.struct(point(c.a, c.b).alias("d"), F.lit(0).alias("w")), step, _band(w), state="struct<d:double,w:int>")
 
