@@ -19,6 +19,7 @@ table gives no rows; columns of any name pass through, those named like outputs
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrowed import map_arrow
+
 MARK = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS, KEPT_WORDS = 300_000, 100_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -49,7 +52,12 @@ class Pieces:
         plain = [not (model.is_byte(i) or model.is_unknown(i) or model.is_control(i) or model.is_unused(i)) for i in range(len(names))]
         self.scores = {p: (model.get_score(i), i) for i, p in enumerate(names) if plain[i]}
         self.longest = max(map(len, self.scores))
-        self.begins = {p[:n] for p in self.scores for n in range(1, len(p) + 1)}
+        self.root: list = [{}, None, 0]  # a tree of characters: followers, score and id of the piece that ends here
+        for p, (score, i) in self.scores.items():
+            node = self.root
+            for c in p:
+                node = node[0].setdefault(c, [{}, None, 0])
+            node[1:] = score, i
         self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         self.bytes = {i: int(names[i][3:5], 16) for i in range(len(names)) if model.is_byte(i)}
@@ -102,24 +110,26 @@ class Pieces:
             end = back[end]
         return out[::-1]
 
-    def _word(self, word: str) -> list[str]:
-        """Pieces of a short text, all boundaries at once; starts beyond the longest known beginning are passed over."""
-        n, scores, begins = len(word), self.scores, self.begins
-        best: list[float | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
+    def word(self, word: str) -> array:
+        """Ids of a short text, with all boundaries at once."""
+        n, root = len(word), self.root
+        best, back, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for a in range(n):
-            base = best[a]
-            for e in range(a + 1, n + 1):
-                part = word[a:e]
-                if part not in begins:
+            base, node = best[a], root
+            for e in range(a, n):
+                node = node[0].get(word[e])
+                if node is None:
                     break
-                found = scores.get(part)
-                if found is not None and (best[e] is None or base + found[0] > best[e]):
-                    best[e], back[e] = base + found[0], a
-            if word[a] not in scores and (best[a + 1] is None or base + self.unknown > best[a + 1]):
-                best[a + 1], back[a + 1] = base + self.unknown, a
-        return self._path(word, 0, 0, n, back)
+                if node[1] is not None and base + node[1] > best[e + 1]:
+                    best[e + 1], back[e + 1], ids[e + 1] = base + node[1], a, node[2]
+            if word[a] not in self.scores and base + self.unknown > best[a + 1]:
+                best[a + 1], back[a + 1], ids[a + 1] = base + self.unknown, a, -1
+        out = []
+        while n:
+            out += [ids[n]] if ids[n] >= 0 else reversed(self._ids([word[n - 1]]))
+            n = back[n]
+        return array("I", reversed(out))
 
     def _ids(self, pieces: list[str]) -> array:
         out = array("I")
@@ -139,9 +149,9 @@ class Pieces:
             return b"".join(self._cached(x) for x in re.findall(r"\n|[^\n]+", word))
         if len(word) > 4 * self.longest:
             return b"".join(self._ids(p).tobytes() for p in self.stream(iter(word)))
-        found = self._ids(self._word(word)).tobytes()
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
+        found = self.word(word).tobytes()
+        if len(self.cache) >= CACHE_WORDS:  # those that came first stay: the common words are among them
+            self.cache = dict(itertools.islice(self.cache.items(), KEPT_WORDS))
         self.cache[word] = found
         return found
 
@@ -159,7 +169,7 @@ class Pieces:
         words = re.findall(f"{MARK}+[^{MARK}]*", text)
         found = list(map(self.cache.get, words))
         if None in found:
-            found = [self._learn(w) if f is None else f for w, f in zip(words, found, strict=True)]
+            found = [self._cached(w) if f is None else f for w, f in zip(words, found, strict=True)]
         return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
@@ -190,7 +200,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ou
             ids = [p.encode(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -204,4 +214,4 @@ def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out_
             texts = [p.decode(i or b"") for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
