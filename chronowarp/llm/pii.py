@@ -35,7 +35,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a scan to be worth while; every text with a valid match passes.
-HINT = {"email": "@[A-Za-z0-9]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+HINT = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 LOOSE = {
     "email": (
         rf"(?<!{_NAME}){_NAME}{{1,64}}+\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{{dot\}})\x20?[A-Za-z0-9-]{{1,63}}){{1,8}}",
