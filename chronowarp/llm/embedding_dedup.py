@@ -9,7 +9,8 @@ half), until every cell has been visited in which a partner is expected with the
 A partner at the threshold lies at a distance r; the part of it along a given direction in d dimensions is r/sqrt(d)
 on average over directions, so the bound must reach beyond ``SPREADS`` times that to be left out.  Planes are few,
 and a link is found from either of its ends.  What lies in a visited cell is verified in double precision, in blocks:
-the members and visitors of a cell are split by hash once either are many, so no cell is gathered whole.
+the members and visitors of a cell are split by hash once either are many, so no cell is gathered whole.  A block gives on
+how many links each vector has in it and a forest of them, not every pair.
 
 Defined results: null labels and unusable vectors (null, empty, zero, null or non-finite components) link with
 nothing and are their own component; vectors of different width never link; equal vectors link with each other;
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowed import map_arrow
 from . import scratch, vectors
 from .components import components
 
-CELL, MOST_CODES, SPREADS, BLOCK = 64, 256, 3.5, 1024
+CELL, MOST_CODES, SPREADS, BLOCK = 64, 256, 2.5, 1024
 
 
 def planes(centres: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,42 +64,76 @@ def _cells(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], reach: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            homes, visits = [], []
-            for row in b.column(2).to_pylist():
-                if len(row) != width:  # of another width than the index: a cell for each width
-                    homes.append(-len(row) - 1)
-                    visits.append([])
-                    continue
-                x = np.array(row)[None]
-                halves = [planes(c, part) for c, part in zip(books, (x[:, : books[0].shape[1]], x[:, books[0].shape[1] :]), strict=True)]
-                home = int(halves[0][0][0]) * side + int(halves[1][0][0])
-                homes.append(home)
-                visits.append([c for i, j in traverse(halves[0][1][0], halves[1][1][0], reach) if (c := i * side + j) != home])
+            rows = b.column(2)
+            lengths = np.diff(rows.offsets.to_numpy()) if len(rows) else np.zeros(0, dtype=np.int64)
+            fits = np.flatnonzero(lengths == width)
+            homes = -lengths.astype(np.int64) - 1  # of another width than the index: a cell for each width
+            visits: list[list[int]] = [[] for _ in lengths]
+            for lo in range(0, len(fits), 1024):
+                some = fits[lo : lo + 1024]
+                x = vectors.matrix(rows.take(pa.array(some)))
+                (own1, far1), (own2, far2) = (planes(c, part) for c, part in zip(books, (x[:, : books[0].shape[1]], x[:, books[0].shape[1] :]), strict=True))
+                homes[some] = own1 * side + own2
+                for n, row in enumerate(some.tolist()):
+                    visits[row] = [c for i, j in traverse(far1[n], far2[n], reach) if (c := i * side + j) != homes[row]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(homes, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], names=["label", "id", "home", "visits"])
 
-    return classes.select("label", "id", "v").mapInArrow(run, "label long, id long, home long, visits array<long>")
+    return map_arrow(classes.select("label", "id", "v"), run, "label long, id long, home long, visits array<long>")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links a-b join two groups that earlier ones leave apart."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        keep[i] = x != y
+        parent[x] = y
+    return keep
 
 
 def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of (members: array of id, home, v), a < b: members at home against all."""
+    """(a, b, n) of (cell, members: array of id, side, members, home, visits, v).  With b: a link, of a forest of the
+    block's.  Without: ``n`` more rows that ``a`` is linked with.  A visitor counts what it finds at home in the cell;
+    one at home counts a visitor itself only if it does not visit the other's cell in its turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[np.ndarray] = []
-            for members in batch.column(0):
+            links, counts = [], []
+            for cell, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 members = members.values
-                home = members.field("home").to_numpy(zero_copy_only=False)
-                ids = members.field("id").to_numpy()
+                at_home = members.field("side").to_numpy(zero_copy_only=False)
+                ids, many = members.field("id").to_numpy(), members.field("members").to_numpy()
+                homes, visits = members.field("home").to_numpy(), members.field("visits")
                 x = vectors.matrix(members.field("v"))
-                for lo in range(0, len(x), BLOCK):
-                    i, j = np.nonzero(x[lo : lo + BLOCK] @ x[home].T >= threshold - 1e-9)
-                    a, b = ids[lo + i], ids[home][j]
-                    exact = np.einsum("ij,ij->i", x[lo + i], x[home][j]) >= threshold
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, exact & (a != b)])
-            a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
+                h, g = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+                goes = {int(i): {cell, *visits[int(i)].as_py()} for i in h}
+                for lo in range(0, len(g), BLOCK):
+                    i, j = np.nonzero(x[g[lo : lo + BLOCK]] @ x[h].T >= threshold - 1e-9)
+                    i, j = g[lo + i], h[j]
+                    good = (np.einsum("ij,ij->i", x[i], x[j]) >= threshold) & (ids[i] != ids[j])
+                    i, j = i[good], j[good]
+                    keep = _forest(ids[i], ids[j])
+                    links.append(np.stack([ids[i[keep]], ids[j[keep]]]))
+                    counts.append(np.stack([ids[i], many[j]]))
+                    alone = np.array([homes[p] not in goes[q] for p, q in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                    counts.append(np.stack([ids[j[alone]], many[i[alone]]]))
+            none = np.empty((2, 0), dtype=np.int64)
+            a, b = np.concatenate(links or [none], axis=1)
+            c, n = np.concatenate(counts or [none], axis=1)
+            c, where = np.unique(c, return_inverse=True)
+            n = np.bincount(where, weights=n, minlength=len(c)).astype(np.int64)
+            columns = [np.concatenate([a, c]), pa.array([*b.tolist(), *[None] * len(c)], pa.int64()), pa.array([*[None] * len(a), *n.tolist()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *columns[1:]], names=["a", "b", "n"])
+
+    return map_arrow(blocks, run, "a long, b long, n long")
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -111,7 +147,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
     classes = scratch.materialise(classes, "classes")
     trained = vectors.sample(classes.where(F.size("v") == F.lit(classes.agg(F.mode(F.size("v"))).first()[0])), "v")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    links = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    found = classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").alias("n")).limit(0)
     if len(trained):
         half = max(1, trained.shape[1] // 2) if trained.shape[1] > 1 else 1
         codes = int(min(MOST_CODES, max(1, round((n / CELL) ** 0.5))))
@@ -128,12 +164,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
         # each home block meets each block of all that visit (those at home too)
         at_home = placed.where("home").select("label", "cell", "id", F.lit(True).alias("home"), mine("hb").alias("p"), F.explode(every("vb")).alias("q"))
         passing = placed.select("label", "cell", "id", F.lit(False).alias("home"), mine("vb").alias("q"), F.explode(every("hb")).alias("p")).select("label", "cell", "id", "home", "p", "q")
-        members = at_home.union(passing).join(classes.select("id", "label", "v"), ["label", "id"])
-        blocks = members.groupBy("label", "cell", "p", "q").agg(F.collect_list(F.struct("id", "home", "v")).alias("members")).select("members")
-        links = scratch.materialise(_verified(blocks, threshold).distinct(), "links")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("id").alias("b"), "members"), "b").groupBy("a").agg(F.sum("members").alias("others"))
-    named = classes.join(components(links), "id", "left").join(scratch.materialise(degree.withColumnRenamed("a", "id"), "degree"), "id", "left")
+        known = cells.select("label", "id", F.col("home").alias("own"), "visits").join(classes.select("id", "label", "members", "v"), ["label", "id"])
+        members = at_home.union(passing).join(scratch.materialise(known, "known"), ["label", "id"])
+        item = F.struct("id", F.col("home").alias("side"), "members", F.col("own").alias("home"), "visits", "v")
+        blocks = members.groupBy("label", "cell", "p", "q").agg(F.collect_list(item).alias("members")).select("cell", "members")
+        found = scratch.materialise(_verified(blocks, threshold), "links")
+    links = found.where("b is not null").select("a", "b").distinct()
+    degree = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    named = classes.join(components(links), "id", "left").join(scratch.materialise(degree, "degree"), "id", "left")
     named = named.select("label", "h1", "h2", F.coalesce("component", "id").alias("c"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("d"))
     named = scratch.materialise(named, "named")
     out = rows.select("id", "label", "ok", "h1", "h2").join(named, ["label", "h1", "h2"], "left")
