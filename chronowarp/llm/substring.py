@@ -5,9 +5,9 @@ first place (smallest document id, then place) is its leader, and every other do
 alone, so a seed in a third of all documents makes no more matches than it has places.  The matches of a document
 (bounded by its own length) are chained for each leader document: ordered in both texts, best score by a Fenwick tree
 of prefix maxima, with a gap cost linear in the words passed over.  Chains are aligned word by word: between seeds on
-one diagonal or on two that meet at the best break, outwards until the score falls.  The best-scoring stretch with at
-least ``SIMILARITY`` equal words is a copy of the leader's; a document's copies are joined, and those of ``LEAST_WORDS``
-or more are its repeated passages.  What stands first, by document id, is never a repeat of what comes later.
+one diagonal or by their longest common subsequence, outwards until the score falls.  The best-scoring stretches, of
+``SIMILARITY`` equal words, are copies of the leader's; a document's copies are joined where they meet or nearly do,
+and those of ``LEAST_WORDS`` or more are its repeated passages.  What stands first, by document id, is never a repeat of what comes later.
 
 Documents of equal words are matched whole beforehand; only the one with the smallest id is searched.
 
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowed import map_arrow
 from . import scratch, textops
 
 K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 16, 50, 0.8
 #: Chains of fewer words than this are chance or a short phrase.
-LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN = 12, 0.1, 64, 10, 2
+LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10, 2500
 #: Rows up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -88,7 +89,7 @@ def _seeded(docs: DataFrame) -> DataFrame:
             columns = [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(seeds, pa.binary()), pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", "seeds", "places"])
 
-    return docs.mapInArrow(run, "id long, n int, d1 long, d2 long, seeds binary, places binary")
+    return map_arrow(docs, run, "id long, n int, d1 long, d2 long, seeds binary, places binary")
 
 
 def _postings(seeded: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def _postings(seeded: DataFrame) -> DataFrame:
                 ids = b.column(0).take(pa.array(np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(at))], names=["seed", "id", "at"])
 
-    return seeded.select("id", "seeds", "places").mapInArrow(run, "seed long, id long, at int")
+    return map_arrow(seeded.select("id", "seeds", "places"), run, "seed long, id long, at int")
 
 
 class _PrefixMax:
@@ -180,7 +181,7 @@ def _chained(matches: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "lid", "x0", "x1", "y0", "y1", "xs", "ys"])
 
-    return matches.mapInArrow(run, "id long, lid long, x0 int, x1 int, y0 int, y1 int, xs binary, ys binary")
+    return map_arrow(matches, run, "id long, lid long, x0 int, x1 int, y0 int, y1 int, xs binary, ys binary")
 
 
 def _segments(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def _segments(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["id", "a", "b", "words"])
 
-    return docs.join(_small(lists), "id").select("id", "text", "ranges").mapInArrow(run, "id long, a int, b int, words binary")
+    return map_arrow(docs.join(_small(lists), "id").select("id", "text", "ranges"), run, "id long, a int, b int, words binary")
 
 
 def _outwards(equal: np.ndarray) -> int:
@@ -220,12 +221,50 @@ def _outwards(equal: np.ndarray) -> int:
     return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
 
 
-def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = K, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """The stretch of ``x`` (start, end) that copies ``y``, given chained anchors; (0, 0) if too few words are equal."""
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which words of ``x`` are on a longest common subsequence with ``y``; for gaps of a few words."""
+    a, b = x.tolist(), y.tolist()
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    flags, i, j = np.zeros(len(a), dtype=bool), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            flags[i] = True
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return flags
+
+
+def stretches(flags: np.ndarray, similarity: float, least: int) -> list[tuple[int, int]]:
+    """Best-scoring stretches, when an unequal word costs what makes ``similarity`` break even: the best one, then
+    those of what lies on either side, of ``least`` words or more."""
+    found, todo = [], [(0, len(flags))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < least:
+            continue
+        total = np.r_[0, np.cumsum(np.where(flags[a:b], 1 - similarity, -similarity))]
+        rise = total - np.minimum.accumulate(total)
+        stop = int(np.argmax(rise))
+        start = int(np.argmin(total[: stop + 1]))
+        if stop - start >= least:
+            found.append((a + start, a + stop))
+            todo += [(a, a + start), (a + stop, b)]
+    return sorted(found)
+
+
+def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = K, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """The stretches of ``x`` (start, end) that copy ``y``, given chained anchors."""
     keep = (xs + k <= len(x)) & (ys + k <= len(y))
     xs, ys = xs[keep], ys[keep]
     if not len(xs):
-        return 0, 0
+        return []
     flags = np.zeros(len(x), dtype=bool)
 
     def on(diagonal: int, a: int, b: int) -> np.ndarray:
@@ -243,27 +282,23 @@ def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
             stop = int(xs[i + 1])
             if d[i] == d[i + 1]:
                 flags[start:stop] = on(d[i], start, stop)
-            elif stop > start + k:  # words put in or left out: change diagonals where most words agree
-                lo = start + k
-                hi = min(stop, len(y) - d[i])
-                one = np.zeros(stop - lo, dtype=bool)
-                one[: max(0, hi - lo)] = on(d[i], lo, max(lo, hi))
-                two = on(d[i + 1], lo, stop) if lo + d[i + 1] >= 0 else np.zeros(stop - lo, dtype=bool)
-                gain = np.r_[0, np.cumsum(one)] + np.r_[np.cumsum(two[::-1])[::-1], 0]
-                cut = int(np.argmax(gain))
-                flags[lo : lo + cut], flags[lo + cut : stop] = one[:cut], two[cut:]
+            elif stop > start + k:  # words put in or left out
+                lo, y0, y1 = start + k, start + k + d[i], stop + d[i + 1]
+                if (stop - lo) * max(y1 - y0, 0) <= GAP_CELLS:
+                    flags[lo:stop] = _in_order(x[lo:stop], y[y0 : max(y0, y1)])
+                else:  # change diagonals where most words agree
+                    one, two = np.zeros(stop - lo, dtype=bool), np.zeros(stop - lo, dtype=bool)
+                    hi = max(lo, min(stop, len(y) - d[i]))
+                    one[: hi - lo] = on(d[i], lo, hi)
+                    from_ = min(stop, max(lo, -d[i + 1]))
+                    two[from_ - lo :] = on(d[i + 1], from_, stop)
+                    cut = int(np.argmax(np.r_[0, np.cumsum(one)] + np.r_[np.cumsum(two[::-1])[::-1], 0]))
+                    flags[lo : lo + cut], flags[lo + cut : stop] = one[:cut], two[cut:]
     e = int(xs[-1]) + k
     n = min(len(x) - e, len(y) - e - d[-1])
     right = e + _outwards(on(d[-1], e, e + n))
     flags[e:right] = on(d[-1], e, right)
-    # the best-scoring stretch when an unequal word costs what makes similarity break even
-    total = np.r_[0, np.cumsum(np.where(flags[left:right], 1 - similarity, -similarity))]
-    rise = total - np.minimum.accumulate(total)
-    stop = int(np.argmax(rise))
-    start = int(np.argmin(total[: stop + 1]))
-    if stop - start < 1 or flags[left + start : left + stop].mean() < similarity:
-        return 0, 0
-    return left + start, left + stop
+    return [(left + a, left + b) for a, b in stretches(flags[left:right], similarity, LEAST_CHAIN)]
 
 
 def _copies(chained: DataFrame, segments: DataFrame) -> DataFrame:
@@ -277,27 +312,29 @@ def _copies(chained: DataFrame, segments: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for own, lid, x0, y0, xs, ys, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = [np.frombuffer(v, dtype=np.int32).astype(np.int64) - o for v, o in ((xs, x0), (ys, y0))]
-                start, stop = align(np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64), *at)
-                if stop - start >= LEAST_CHAIN:
+                for start, stop in align(np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64), *at):
                     rows.append((own, x0 + start, x0 + stop, lid))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["id", "start", "stop", "lid"])
 
-    return both.mapInArrow(run, "id long, start int, stop int, lid long")
+    return map_arrow(both, run, "id long, start int, stop int, lid long")
 
 
-def joined(copies: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """Word ranges (start, stop, source) made of copies that touch, of ``least`` words or more; the source is that of
-    the longest copy."""
-    out: list[list[int]] = []
+def joined(copies: list[tuple[int, int, int]], least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """Word ranges (start, stop, source) made of copies at most ``JOIN_WITHIN`` words apart that cover the share
+    ``similarity`` of the range at least, of ``least`` words or more; the source is that of the longest copy."""
+    out: list[list[int]] = []  # start, stop, source, its length, words covered
     for start, stop, lid in sorted(copies):
-        if out and start <= out[-1][1] + JOIN_WITHIN:
-            if stop - start > out[-1][3]:
-                out[-1][2:] = [lid, stop - start]
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop, lid, stop - start])
-    return [(a, b, lid) for a, b, lid, _ in out if b - a >= least]
+        if out:
+            last = out[-1]
+            covered = last[4] + max(0, stop - max(start, last[1]))
+            end = max(stop, last[1])
+            if start <= last[1] + JOIN_WITHIN and covered >= similarity * (end - last[0]):
+                source = [lid, stop - start] if stop - start > last[3] else last[2:4]
+                out[-1] = [last[0], end, *source, covered]
+                continue
+        out.append([start, stop, lid, stop - start, stop - start])
+    return [(o[0], o[1], o[2]) for o in out if o[1] - o[0] >= least]
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +374,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "start", "end", "n_words", "other_id"])
 
     out = "id long, start int, end int, n_words int, other_id long"
-    return docs.join(_small(copies), "id").select("id", "text", "copies").mapInArrow(run, out).distinct()
+    return map_arrow(docs.join(_small(copies), "id").select("id", "text", "copies"), run, out).distinct()
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,8 +21,7 @@ def sample(vectors: DataFrame, column: str, size: int = SAMPLE) -> np.ndarray:
     key = F.xxhash64(column)
     rows = vectors.select(column, key.alias("__k")).groupBy("__k").agg(F.first(column).alias(column)).orderBy("__k").limit(size)
     found = rows.select(column).toArrow()[column].combine_chunks()
-    width = len(found[0]) if len(found) else 0
-    return found.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return matrix(found) if len(found) else np.zeros((0, 0))
 
 
 def matrix(column) -> np.ndarray:
