@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .arrowed import map_arrow
 from . import scratch, vectors
 
 LEVELS, WORDS, BEAM = 16, 128, 4
@@ -85,7 +86,7 @@ def _encoded(rows: DataFrame, books: np.ndarray) -> DataFrame:
                 codes += [row.tobytes() for row in c.astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(np.concatenate(factors))], names=["id", "v", "codes", "factor"])
 
-    return rows.mapInArrow(run, "id long, v array<double>, codes binary, factor double")
+    return map_arrow(rows, run, "id long, v array<double>, codes binary, factor double")
 
 
 def _searched(blocks: DataFrame, books: np.ndarray, k: int) -> DataFrame:
@@ -133,7 +134,7 @@ def _searched(blocks: DataFrame, books: np.ndarray, k: int) -> DataFrame:
                 a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    return blocks.mapInArrow(run, "query_id long, vec_id long, score double")
+    return map_arrow(blocks, run, "query_id long, vec_id long, score double")
 
 
 def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

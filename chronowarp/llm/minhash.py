@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrowed import map_arrow
 from . import scratch, textops
 from .components import components
 
@@ -62,7 +63,7 @@ def sketches(docs: DataFrame, k: int, size: int = SKETCH) -> DataFrame:
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(low, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "sketch"])
 
-    return docs.mapInArrow(run, _SKETCHES)
+    return map_arrow(docs, run, _SKETCHES)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -73,7 +74,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [np.unique(r).tobytes() for words in textops.chunks(b.column(1)) for r in words.shingles(k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return map_arrow(docs, run, "id long, set binary")
 
 
 def _overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -145,7 +146,7 @@ def _cold_pairs(lists: DataFrame, percent: int) -> DataFrame:
             columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "sure"])
 
-    return lists.mapInArrow(run, "a long, b long, sure boolean")
+    return map_arrow(lists, run, "a long, b long, sure boolean")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -165,7 +166,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_arrow(both, run, "a long, b long")
 
 
 def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +188,7 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return blocks.select("members").mapInArrow(run, "a long, b long")
+    return map_arrow(blocks.select("members"), run, "a long, b long")
 
 
 def _hot_links(hot: DataFrame, docs: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:

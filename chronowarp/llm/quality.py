@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrowed import map_arrow
 from . import fitting, textops
 
 VOCABULARY, DIMENSIONS, NONZERO, HIDDEN = 8192, 32, 4, 24
@@ -68,7 +69,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         used = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(table[used, i]) for i in range(DIMENSIONS))], names=["bucket", *columns])
 
-    parts = docs.select(text_col).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
+    parts = map_arrow(docs.select(text_col), run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
     found = parts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # VOCABULARY rows at most
     context = np.zeros((VOCABULARY, DIMENSIONS))
     context[found["bucket"].to_numpy()] = np.column_stack([found[c].to_numpy() for c in columns])
@@ -162,4 +163,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             s = fitting.sigmoid(model.log_odds(np.concatenate(x))) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

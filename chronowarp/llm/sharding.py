@@ -22,7 +22,7 @@ from pyspark.sql import window as W
 
 from . import scratch
 
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 #: At least so many buckets, so that small inputs are spread too.
 LEAST_BUCKETS = 64
 OUTPUTS = ("shard", "slot")
