@@ -113,5 +113,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Ids that links reach, and the smallest of them.
+_REACH = "both_ways as (select a, b from links union select b, a from links), reach as (select id, id r from nodes union select reach.id, b from reach join both_ways on a = r), named as (select id, min(r) c from reach group by id)"
+
+MINHASH_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) x from d),
+v as (select doc_id, len(x) n, unnest(x) y from s),
+links as (select p.doc_id a, q.doc_id b from v p join v q on p.y = q.y and p.doc_id < q.doc_id group by p.doc_id, q.doc_id having 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))),
+nodes as (select doc_id id from d),
+{_REACH}
+select s.doc_id, len(s.x) n_shingles, named.c component_id, named.c = s.doc_id kept from s join named on named.id = s.doc_id
+"""
+
+EMBEDDINGS_SQL = f"""
+with recursive e as (select vec_id, label, [x::double for x in embedding] v from embeddings),
+links as (select p.vec_id a, q.vec_id b from e p join e q on p.label = q.label and p.vec_id < q.vec_id where list_cosine_similarity(p.v, q.v) >= 0.93),
+nodes as (select vec_id id from e),
+{_REACH},
+degree as (select a, count(*) n from both_ways group by a)
+select e.vec_id, coalesce(degree.n, 0) n_links, named.c component_id, named.c = e.vec_id kept from e join named on named.id = e.vec_id left join degree on degree.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force in SQL for the two operators that it can express; the others are tested against brute force in
+    Python, round trips or held-out labels."""
+    return {"op3_embeddings": EMBEDDINGS_SQL, "op6_minhash": MINHASH_SQL}
