@@ -198,3 +198,55 @@ def vectorised(distance: Distance) -> Callable[..., Column]:
         return F.when(a.isNotNull() & b.isNotNull() & wrong, float("nan")).otherwise(run(a, b, limit))
 
     return call
+
+
+def path_batch(a: np.ndarray, b: np.ndarray, exponent: float = 2, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Warping distances of the rows and how far their paths leave the diagonal on steps off it (-1: no path). Of equal
+    steps the diagonal one is taken, then the one along b."""
+    (pairs, n), m, point = a.shape, b.shape[1], point_cost(exponent)
+    if n == 0 or m == 0:
+        return np.full(pairs, 0.0 if n == m else np.inf), np.full(pairs, 0 if n == m else -1)
+    w = max(n, m) if window is None else window
+    d_two = d_one = np.full((pairs, n + 1), np.inf)
+    w_two = w_one = np.zeros((pairs, n + 1), dtype=np.int64)
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n - 1, k) + 1)
+        i = i[np.abs(2 * i - k) <= w]
+        j = k - i
+        d_now, w_now = np.full((pairs, n + 1), np.inf), np.zeros((pairs, n + 1), dtype=np.int64)
+        if len(i):
+            here = point(a[:, i], b[:, j])
+            if k == 0:
+                d_now[:, 1:2] = here
+            else:
+                across, left, top = d_two[:, i], d_one[:, i + 1], d_one[:, i]
+                straight, along = (across <= left) & (across <= top), left <= top
+                d_now[:, i + 1] = np.where(straight, across, np.where(along, left, top)) + here
+                off = np.maximum(np.where(along, w_one[:, i + 1], w_one[:, i]), np.abs(i - j))
+                w_now[:, i + 1] = np.where(straight, w_two[:, i], off)
+        d_two, d_one, w_two, w_one = d_one, d_now, w_one, w_now
+    cost = d_one[:, n]
+    wrong = np.isnan(a).any(axis=1) | np.isnan(b).any(axis=1)
+    return np.where(wrong, np.nan, cost), np.where(np.isfinite(cost) & ~wrong, w_one[:, n], -1)
+
+
+def vectorised_path(exponent: float = 2, window: int | None = None) -> Callable[..., Column]:
+    """``elastic.dtw_path`` as an Arrow function of two series: struct(cost, max_deviation)."""
+
+    @F.pandas_udf("cost double, max_deviation int")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in parts:
+            cost, far = np.full(len(a), np.nan), np.full(len(a), -1)
+            by: dict[tuple[int, int], list[int]] = {}
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                if x is not None and y is not None:
+                    by.setdefault((len(x), len(y)), []).append(i)
+            for (n, m), rows in by.items():
+                for at in range(0, len(rows), 2048):
+                    some = rows[at : at + 2048]
+                    x, y = (np.array([s.iloc[i] for i in some], dtype=np.float64).reshape(len(some), k) for s, k in ((a, n), (b, m)))
+                    cost[some], far[some] = path_batch(x, y, exponent, window)
+            missing = a.isna().to_numpy() | b.isna().to_numpy()
+            yield pd.DataFrame({"cost": pd.Series(cost).where(~missing, None), "max_deviation": pd.Series(far, dtype="Int32").where(far >= 0)})
+
+    return lambda a, b: run(series(a), series(b))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import oracles as sql
 from .functions import bounds, costs, elastic, envelopes, transforms
-from .functions.arrow import Distance, vectorised
+from .functions.arrow import Distance, vectorised, vectorised_path
 from .operators import search
 from .sources import series as source
 from .streaming import matching
@@ -157,6 +157,12 @@ def dtw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_pairs(vectors(spark, sf_dir)).select("id", elastic.dtw_path("a", "b").alias("p")).select("id", F.col("p.cost").alias("distance"), "p.max_deviation")
 
 
+def dtw_path_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Arrow batches."""
+    found = next_pairs(vectors(spark, sf_dir)).select("id", vectorised_path()("a", "b").alias("p"))
+    return found.select("id", F.col("p.cost").alias("distance"), "p.max_deviation")
+
+
 def _dtw_path_sql() -> str:
     # both parts of a cell in one struct; of equal steps the diagonal one, then the one along b
     cost = "(A-B)*(A-B)"
@@ -323,7 +329,7 @@ def queries() -> dict[str, Query]:
         for name, (distance, _, digits) in named.items():
             found[name] = _pairwise(kind, distance.column, digits)
             found[f"{name}_arrow"] = _arrow_pairs(kind, distance, digits)
-    found |= {"directa_cutoff": directa_cutoff, "dtw_cutoff": dtw_cutoff, "dtw_infeasible": dtw_infeasible, "dtw_path": dtw_path, "ddtw": ddtw}
+    found |= {"directa_cutoff": directa_cutoff, "dtw_cutoff": dtw_cutoff, "dtw_infeasible": dtw_infeasible, "dtw_path": dtw_path, "dtw_path_arrow": dtw_path_arrow, "ddtw": ddtw}
     found |= {"derive": derive("embeddings"), "derive_events": derive("events"), "wdtw_weights": wdtw_weights, "point_costs": point_costs}
     found |= {"envelopes": _envelope_rows(("upper", "lower")), "upper_envelope": _envelope_rows(("upper",)), "lower_envelope": _envelope_rows(("lower",))}
     found |= {"webb_envelopes": _envelope_rows(("upper", "lower", "lower_upper", "upper_lower")), "envelope_long": envelope_long}
@@ -353,7 +359,7 @@ def oracle_sql() -> dict[str, str]:
     for name, distance, cut in (("directa_cutoff", "directa", 2.0), ("dtw_cutoff", "dtw", 0.5)):
         found[name] = sql.whole(sql.distance(sql.NEXT["embeddings"], distance), f"select id, d > {cut}e0 abandoned, case when d <= {cut}e0 then d end distance from found")
     found["dtw_infeasible"] = sql.whole(sql.NEXT["events"], "select id, abs(n-m) > 3 d_infinite, abs(n-m) > 3 e_infinite, abs(n-m) > 3 l_infinite from pairs")
-    found["dtw_path"] = _dtw_path_sql()
+    found["dtw_path"] = found["dtw_path_arrow"] = _dtw_path_sql()
     slopes = sql.derived(sql.NEXT["embeddings"])
     plain, weighted = sql.distance(slopes, "dtw"), sql.distance(slopes, "wdtw", g=G, length=LENGTH)
     found["ddtw"] = (

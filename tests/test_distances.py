@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronowarp.functions import bounds, elastic, envelopes, transforms
-from chronowarp.functions.arrow import Distance, vectorised
+from chronowarp.functions.arrow import Distance, vectorised, vectorised_path
 
 RNG = random.Random(11)
 
@@ -87,11 +87,12 @@ def test_cutoff_nulls_and_nan(spark):
 
 
 def test_path(pairs):
-    found = pairs.select("i", elastic.dtw_path("a", "b").alias("p"), elastic.dtw_path("a", "b", cutoff=0.0).alias("q")).collect()
+    found = pairs.select("i", elastic.dtw_path("a", "b").alias("p"), elastic.dtw_path("a", "b", cutoff=0.0).alias("q"), vectorised_path()("a", "b").alias("v"), elastic.dtw_path("a", "b", window=4).alias("w"), vectorised_path(2, 4)("a", "b").alias("x")).collect()
     for r in found:
         a, b = PAIRS[r.i]
         want = naive.dtw(a, b)
-        assert close(r.p.cost, want)
+        assert close(r.p.cost, want) and close(r.v.cost, want) and r.v.max_deviation == r.p.max_deviation
+        assert close(r.w.cost, r.x.cost) and r.w.max_deviation == r.x.max_deviation
         if math.isinf(want):
             assert r.p.max_deviation is None
         else:
