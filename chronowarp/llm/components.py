@@ -23,15 +23,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id on an edge the smallest id that can be reached. Loops and repeats may occur."""
     x, y = F.col(a), F.col(b)
     known = edges.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    n = known.count()
     nodes = known.select("u").union(known.select("v")).distinct().withColumnRenamed("u", "id")
-    nodes = scratch.materialise(nodes, "cc-nodes")
-    known = scratch.materialise(known.where("u <> v").distinct(), "cc-edges")
+    nodes = scratch.materialise(nodes, "cc-nodes", n)
+    known = scratch.materialise(known.where("u <> v").distinct(), "cc-edges", n)
     while not _stars(known):
         both = known.union(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-min")
+        least = scratch.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-min", n)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.materialise(large, "cc-large")
-        least = scratch.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        large = scratch.materialise(large, "cc-large", n)
+        least = scratch.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min", n)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        known = scratch.materialise(small.distinct(), "cc-small")
+        known = scratch.materialise(small.distinct(), "cc-small", n)
     return nodes.join(known.select(F.col("u").alias("id"), F.col("v").alias("__c")), "id", "left").select("id", F.coalesce("__c", "id").alias("component"))

@@ -152,7 +152,7 @@ def _cold_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose full sets are similar enough."""
     left = docs.withColumnRenamed("id", "a").join(_small(pairs), "a").withColumnRenamed("text", "text_a")
-    right = docs.join(_small(scratch.materialise(pairs.select(F.col("b").alias("id")).distinct(), "ids")), "id", "left_semi")
+    right = docs.join(_small(scratch.materialise(pairs.select(F.col("b").alias("id")).distinct(), "ids", pairs.count())), "id", "left_semi")
     both = left.join(right.withColumnsRenamed({"id": "b", "text": "text_b"}).hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,8 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
 
 def _hot_links(hot: DataFrame, docs: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among classes that share a hot value; ``hot``: written (value, id)."""
-    ids = scratch.materialise(hot.select("id").distinct(), "hot-ids")
+    n = hot.count()
+    ids = scratch.materialise(hot.select("id").distinct(), "hot-ids", n)
     sets = scratch.materialise(full_sets(docs.join(_small(ids), "id", "left_semi"), k), "hot-sets")
 
     def members(*keys: str):
@@ -204,7 +205,7 @@ def _hot_links(hot: DataFrame, docs: DataFrame, links: DataFrame, k: int, percen
         size = rows.join(sets.select("id", F.octet_length("set").alias("bytes")), "id").groupBy(*groups).agg(
             F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
         )
-        return rows.join(scratch.materialise(size, "hot-sizes"), groups).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        return rows.join(scratch.materialise(size, "hot-sizes", n), groups).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     first = placed(hot, ["value"])
     pivots = first.select("value", "block").distinct().join(_pivots(hot), "value").select("value", "block", "id")
@@ -214,12 +215,12 @@ def _hot_links(hot: DataFrame, docs: DataFrame, links: DataFrame, k: int, percen
 
     joined = components(links.select("a", "b").union(near))
     labelled = hot.join(joined, "id", "left").select("value", "id", F.coalesce("component", "id").alias("comp"))
-    labelled = scratch.materialise(labelled, "hot-labelled")
+    labelled = scratch.materialise(labelled, "hot-labelled", n)
     main = labelled.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max_by("comp", "n").alias("main"))
-    labelled = labelled.join(scratch.materialise(main, "hot-main"), "value").withColumn("rest", F.col("comp") != F.col("main"))
-    labelled = scratch.materialise(placed(labelled, ["value", "rest"]), "hot-placed")
+    labelled = labelled.join(scratch.materialise(main, "hot-main", n), "value").withColumn("rest", F.col("comp") != F.col("main"))
+    labelled = scratch.materialise(placed(labelled, ["value", "rest"]), "hot-placed", n)
     counts = labelled.groupBy("value").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("r"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("m"))
-    labelled = labelled.join(scratch.materialise(counts.where("r is not null"), "hot-counts"), "value")
+    labelled = labelled.join(scratch.materialise(counts.where("r is not null"), "hot-counts", n), "value")
     others = labelled.where("rest").withColumn("o", F.col("block"))
     lower = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda p: F.struct(F.least("o", p).alias("o"), F.lit("r").alias("kind"), F.greatest("o", p).alias("p"), F.when(p == F.col("o"), 2).when(F.col("o") < p, 0).otherwise(1).alias("side")))
     across = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda p: F.struct(F.col("o").alias("o"), F.lit("m").alias("kind"), p.alias("p"), F.lit(0).alias("side")))
@@ -242,37 +243,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = scratch.materialise(sketches(docs, k), "sketches")
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"))
     classes = scratch.materialise(classes.where("id is not null"), "classes")
+    n = classes.count()
 
     value = F.explode(F.expr(f"transform(sequence(0, least({LISTED}, octet_length(sketch) div 8) - 1), i -> substring(sketch, i * 8 + 1, 8))"))
     postings = classes.select(value.alias("value"), "id")
-    sizes = scratch.materialise(postings.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "list-sizes")
+    sizes = scratch.materialise(postings.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "list-sizes", n * LISTED)
     shared = scratch.materialise(postings.join(sizes, "value"), "postings")
     lists = shared.where(f"size <= {COLD}").groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids").distinct()
     lists = lists.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("id"))
     lists = scratch.materialise(lists, "lists")
     members = F.collect_list(F.struct("id", "n", "sketch")).alias("members")
     cold = lists.join(classes.select("id", "n", "sketch"), "id").groupBy("list").agg(members).select("members")
-    pairs = scratch.materialise(_cold_pairs(cold, percent).distinct(), "pairs")
+    pairs = scratch.materialise(_cold_pairs(cold, percent).distinct(), "pairs", n * LISTED)
     links = pairs.where("sure").select("a", "b")
     open_pairs = pairs.where("not sure").select("a", "b")
-    first = scratch.materialise(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-first")
+    first = scratch.materialise(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-first", n)
     links = links.union(scratch.materialise(_confirm(first, docs, k, percent), "links-first"))
-    named = scratch.materialise(components(links), "components")
+    named = scratch.materialise(components(links), "components", n)
     left = open_pairs.join(first, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         left = left.join(named.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
     left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    links = links.union(scratch.materialise(_confirm(scratch.materialise(left, "pairs-left"), docs, k, percent), "links-left"))
+    links = links.union(scratch.materialise(_confirm(scratch.materialise(left, "pairs-left", n * LISTED), docs, k, percent), "links-left"))
 
     hot = shared.where(f"size > {COLD}")
     few = hot.groupBy("id").agg(F.count(F.lit(1)).alias("n_hot"), F.slice(F.array_sort(F.collect_list("value")), 1, HOT_LISTED).alias("values"))
     few = few.join(classes.select("id", "n"), "id").where(f"least(n, {LISTED}) - n_hot < {FEW_COLD}")
-    hot = scratch.materialise(few.select(F.explode("values").alias("value"), "id"), "hot")
+    hot = scratch.materialise(few.select(F.explode("values").alias("value"), "id"), "hot", n * HOT_LISTED)
     if not hot.isEmpty():
         links = links.union(scratch.materialise(_hot_links(hot, docs, links, k, percent), "hot-links"))
     named = components(links)
     named = classes.join(named, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    named = scratch.materialise(named, "class-components")
+    named = scratch.materialise(named, "class-components", n)
     out = rows.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
     return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -33,8 +33,16 @@ def write(df: DataFrame, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written and read back: same rows, no lineage."""
+#: Rows for each file of a table whose size is known, and files at least.
+ROWS_A_FILE, LEAST_FILES = 100_000, 8
+
+
+def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """``df`` written and read back: same rows, no lineage. ``rows``: about how many there are at most; small tables
+    then do not end in as many tasks and files as there are shuffle partitions. Only for plans that end in a shuffle
+    and little work after it."""
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
     return df.sparkSession.read.schema(df.schema).parquet(write(df, tag))
 
 
