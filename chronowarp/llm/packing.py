@@ -17,6 +17,9 @@ table gives no rows; columns other than the id and text columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import re
+import unicodedata
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,73 +32,95 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from .arrowed import map_arrow
 from . import scratch
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 500_000
+CACHE_WORDS, KEPT_WORDS, TOGETHER = 800_000, 500_000, 64
+_PART = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|(?:[^\s\w]|_)+|\w")
 #: Where a piece was made: input partition, and rank there among pieces of its length.
 PLACES = ("__part", "__rank")
 Pattern = tuple[int, tuple[int, ...]]
 
 
 class _WordIds(dict):
-    """White-space word to its ids as little-endian unsigned 32-bit bytes; emptied when it holds ``CACHE_WORDS``.
+    """Lower-case word of a text, or part of one, to its ids as little-endian unsigned 32-bit bytes, up to
+    ``CACHE_WORDS``; then the ``KEPT_WORDS`` that came first stay, which the common ones are among.
 
-    The tokenizer drops white space, never looks across it, and splits letters from punctuation, so the ids of a text
-    are those of its words in turn.  Words not met before are encoded together, and told apart by their last token.
+    The tokenizer composes characters, lower-cases, drops white space and merges within runs of letters, single digits,
+    runs of other characters and a few endings after an apostrophe, so the ids of a text are those of its words' parts
+    in turn.  Parts not met before are merged together, and told apart by their last token.  Texts in which a step could
+    depend on its surroundings go through the tokenizer whole.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.merges, self.byte_merges = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.byte_merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        # added tokens, separators that only one side takes for white space, a letter whose lower case depends on the next
+        self.whole = re.compile("|".join(map(re.escape, sorted(added | {"\x1c", "\x1d", "\x1e", "\x1f", "\u03a3"}))))
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        words = [w for w in words if len(w) <= 64]
-        if len(self) + len(words) > CACHE_WORDS:
+        if len(self) + 2 * len(words) > CACHE_WORDS:
+            first = list(itertools.islice(self.items(), KEPT_WORDS))
             self.clear()
-        stems = {}
-        for w in words:
-            stem, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if stem.isalpha():
-                stems[w] = stem, tail
-        fresh = [w for w in {stem for stem, _ in stems.values()} if w not in self]
-        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, dtype=np.uint32)
-        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-        if len(ends) == len(fresh):
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(fresh, ends.tolist(), strict=True):
-                self[w] = raw[at:end]
-                at = end
-        else:  # a letter that folds into more than letters
-            for w in fresh:
-                self[w] = self.encode(w)
-        for c in ".,":
-            if c not in self:
-                self[c] = self.encode(c)
-        for w in words:
-            if w in stems:
-                stem, tail = stems[w]
-                self[w] = self[stem] + self[tail] if tail else self[stem]
+            self.update(first)
+        split = [(w, (w,) if w.isalpha() else tuple(_PART.findall(w))) for w in words]
+        plain, wide, other = [], [], []
+        for p in {p for _, parts in split for p in parts if p not in self}:
+            if p.isalpha() or len(p) == 1 or not p[0].isalnum():
+                (plain if p.isascii() and p.isprintable() else wide).append(p)  # bytes stand for themselves, or not
             else:
-                self[w] = self.encode(w)
-
-    def text(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
-            return self.encode(text)
-        words = text.split()
-        found = list(map(self.get, words))
-        if None in found:
-            self.learn(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = [self[w] if w in self else self.encode(w) for w in words]
-        return b"".join(found)
+                other.append(p)
+        for some, merges in ((plain, self.merges), (wide, self.byte_merges)):
+            if not some:
+                continue
+            ids = np.array(merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) == len(some):
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(some, ends.tolist(), strict=True):
+                    self[p] = raw[at:end]
+                    at = end
+            else:
+                other += some
+        self.update((p, self.encode(p)) for p in other)
+        for w, parts in split:
+            self[w] = self[parts[0]] if len(parts) == 1 else b"".join([self[p] for p in parts])
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list = []
+        fresh: set[str] = set()
+        for text in texts:
+            if self.whole.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                out.append(self.encode(text))
+                continue
+            words = text.lower().split()
+            found = list(map(self.get, words))
+            late = [i for i, f in enumerate(found) if f is None] if None in found else []
+            fresh.update([words[i] for i in late])
+            out.append((words, found, late))
+        if fresh:
+            self.learn(list(fresh))
+        for n, item in enumerate(out):
+            if isinstance(item, tuple):
+                words, found, late = item
+                for i in late:
+                    found[i] = self[words[i]]
+                out[n] = b"".join(found)
+        return out
 
 
 _WORDS: dict[str, _WordIds] = {}
@@ -130,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = _word_ids(tokenizer or default_tokenizer()), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        known, part, seen = _word_ids(tokenizer or default_tokenizer()), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end, step = array("I", [END_ID]).tobytes(), capacity * 4
         rows: list[tuple] = []
 
@@ -143,21 +168,23 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
         for b in batches:
             held = 0
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = words.text(text or "") + end
+            texts = b.column(1).fill_null("")
+            coded = (x for at in range(0, len(texts), TOGETHER) for x in known.texts(texts[at : at + TOGETHER].to_pylist()))
+            for i, ids in enumerate(coded):
+                ids += end
                 for k in range(0, len(ids), step):
                     one = ids[k : k + step]
                     n = len(one) // 4
                     rows.append((i, k // step, k // 4, n, one, seen[n]))
                     seen[n] += 1
                 held += len(ids)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield batch(b.column(0))
                     held = 0
             if rows:
                 yield batch(b.column(0))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -328,4 +355,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> Da
             where = place(b.column("length").to_numpy(), b.column(rank).to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in schema.names[:-2]), *map(pa.array, where)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return map_arrow(ranked, run, schema)
