@@ -9,6 +9,11 @@ one diagonal or by their longest common subsequence, outwards until the score fa
 ``SIMILARITY`` equal words, are copies of the leader's; a document's copies are joined where they meet or nearly do,
 and those of ``LEAST_WORDS`` or more are its repeated passages.  What stands first, by document id, is never a repeat of what comes later.
 
+Equal runs do not hang on a seed's leader.  Shingles of ``RUN`` words, thinned so that any run of ``LEAST_WORDS`` equal
+words shares one, tell where a document may repeat another.  There, every shingle of ``RUN`` words is looked up, and one
+that an earlier document holds is a copy by itself, of its first holder: each word of a run of ``LEAST_WORDS`` words
+that stands in an earlier document lies in such a shingle, whichever documents hold parts of the run.
+
 Documents of equal words are matched whole beforehand; only the one with the smallest id is searched.
 
 Defined results: null, empty and short texts have no passages; repeats inside one document do not count; repeated rows
@@ -30,6 +35,9 @@ from .arrowed import map_arrow
 from . import scratch, textops
 
 K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 16, 50, 0.8
+#: Words of the shingles that are copies by themselves, and places among which one is sure to be chosen.
+RUN = LEAST_WORDS // 2
+RUN_WINDOW = LEAST_WORDS - RUN + 1
 #: Chains of fewer words than this are chance or a short phrase.
 LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10, 2500
 #: Rows up to this number are sent to every executor; more are joined by a shuffle.
@@ -72,27 +80,29 @@ def minimizers(words: textops.Words, k: int = K, window: int = WINDOW) -> Iterat
 
 
 def _seeded(docs: DataFrame) -> DataFrame:
-    """(id, n, d1, d2, seeds, places) of (id, text): word count, digests of the word sequence, its seeds."""
+    """(id, n, d1, d2, seeds, places, runs, run_places) of (id, text): word count, digests of the word sequence, its
+    seeds, its thinned shingles of ``RUN`` words."""
+    binaries = ("seeds", "places", "runs", "run_places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, seeds, places = [], [], [], [], []
+            n, d1, d2, found = [], [], [], [[], [], [], []]
             for words in textops.chunks(b.column(1)):
                 h = words.hashes
-                for (s, p), a, e in zip(minimizers(words), words.first[:-1], words.first[1:], strict=True):
+                for short, long, a, e in zip(minimizers(words), minimizers(words, RUN, RUN_WINDOW), words.first[:-1], words.first[1:], strict=True):
                     n.append(int(e - a))
                     turn = textops.mix(h[a:e] + np.arange(e - a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     d1.append(int(turn.sum(dtype=np.uint64).view(np.int64)))
                     d2.append(int(textops.mix(turn).sum(dtype=np.uint64).view(np.int64)))
-                    seeds.append(s.tobytes())
-                    places.append(p.tobytes())
-            columns = [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(seeds, pa.binary()), pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", "seeds", "places"])
+                    for out, values in zip(found, (*short, *long), strict=True):
+                        out.append(values.tobytes())
+            columns = [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *(pa.array(v, pa.binary()) for v in found)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", *binaries])
 
-    return map_arrow(docs, run, "id long, n int, d1 long, d2 long, seeds binary, places binary")
+    return map_arrow(docs, run, "id long, n int, d1 long, d2 long, " + ", ".join(f"{c} binary" for c in binaries))
 
 
-def _postings(seeded: DataFrame) -> DataFrame:
+def _postings(seeded: DataFrame, seeds: str = "seeds", places: str = "places") -> DataFrame:
     """(seed, id, at), one row a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +113,65 @@ def _postings(seeded: DataFrame) -> DataFrame:
                 ids = b.column(0).take(pa.array(np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(at))], names=["seed", "id", "at"])
 
-    return map_arrow(seeded.select("id", "seeds", "places"), run, "seed long, id long, at int")
+    return map_arrow(seeded.select("id", seeds, places), run, "seed long, id long, at int")
+
+
+def _near(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(seed, id, at): every shingle of ``RUN`` words that starts less than ``RUN_WINDOW`` words from a thinned one
+    which two documents hold, (seed, id, at) of ``runs``."""
+    shared = runs.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("seed")
+    shared = scratch.materialise(shared, "shared-runs")
+    at = scratch.materialise(runs.join(shared, "seed").groupBy("id").agg(F.collect_set("at").alias("at")), "run-places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column(2).to_pylist()
+            for words in textops.chunks(b.column(1)):
+                h, seeds, places, rows = words.hashes, [], [], []
+                for i, lo, hi in zip(words.rows, words.first[:-1], words.first[1:], strict=True):
+                    n = int(hi - lo) - RUN + 1
+                    if n <= 0:
+                        continue
+                    change, found = np.zeros(n + 1, dtype=np.int64), np.array(wanted[i])
+                    np.add.at(change, np.maximum(found - RUN_WINDOW + 1, 0).clip(max=n), 1)
+                    np.add.at(change, (found + RUN_WINDOW).clip(max=n), -1)
+                    start = np.flatnonzero(np.cumsum(change)[:n] > 0)
+                    seeds.append(textops.rolled(h[lo:hi], RUN)[start].view(np.int64))
+                    places.append(start.astype(np.int32))
+                    rows.append(np.full(len(start), i))
+                if rows:
+                    columns = [pa.array(np.concatenate(seeds)), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at"])
+
+    return map_arrow(docs.join(_small(at), "id").select("id", "text", "at"), run, "seed long, id long, at int")
+
+
+def _equal_runs(matches: DataFrame) -> DataFrame:
+    """(id, start, stop, lid) of (id, matches): words under shingles of ``RUN`` words of one leader that meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            values = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            lid, at = (values.field(c).to_numpy() for c in ("lid", "at"))
+            order = np.lexsort((at, lid, row))
+            row, lid, at = row[order], lid[order], at[order]
+            new = np.ones(len(at) + 1, dtype=bool)
+            new[1:-1] = (row[1:] != row[:-1]) | (lid[1:] != lid[:-1]) | (at[1:] > at[:-1] + RUN)
+            edge = np.flatnonzero(new)
+            first, last = edge[:-1], edge[1:] - 1
+            columns = [b.column(0).take(pa.array(row[first])), pa.array(at[first], pa.int32()), pa.array(at[last] + RUN, pa.int32()), pa.array(lid[first], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "stop", "lid"])
+
+    return map_arrow(matches, run, "id long, start int, stop int, lid long")
+
+
+def _led(seeds: DataFrame, tag: str) -> DataFrame:
+    """(id, matches (lid, at, lat)) of (seed, id, at): each document's seeds that an earlier document holds, with their leaders."""
+    leaders = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    leaders = scratch.materialise(leaders.select("seed", F.col("first.id").alias("lid"), F.col("first.at").alias("lat")), tag)
+    return seeds.join(leaders, "seed").where("id <> lid").groupBy("id").agg(F.collect_list(F.struct("lid", "at", "lat")).alias("matches"))
 
 
 class _PrefixMax:
@@ -346,14 +414,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole = seeded.where(f"n >= {K}").select("id", "n", "d1", "d2").join(_small(groups), ["n", "d1", "d2"]).where("id <> rep").select("id", "n", "rep")
     whole = scratch.materialise(whole.distinct(), "whole-copies")
 
-    seeds = _postings(seeded.join(_small(whole.select("id")), "id", "left_anti"))
-    leaders = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
-    leaders = scratch.materialise(leaders.select("seed", F.col("first.id").alias("lid"), F.col("first.at").alias("lat")), "leaders")
-    matches = seeds.join(leaders, "seed").where("id <> lid").groupBy("id").agg(F.collect_list(F.struct("lid", "at", "lat")).alias("matches"))
-    chained = scratch.materialise(_chained(matches), "chains")
+    searched = seeded.join(_small(whole.select("id")), "id", "left_anti")
+    chained = scratch.materialise(_chained(_led(_postings(searched), "leaders")), "chains")
+    near = scratch.materialise(_near(docs, _postings(searched, "runs", "run_places")), "near-runs")
+    runs = _equal_runs(_led(near, "run-leaders"))
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
     segments = scratch.materialise(_segments(docs, ranges.distinct()), "segments")
-    copies = _copies(chained, segments).union(whole.where(f"n >= {LEAST_WORDS}").select("id", F.lit(0).alias("start"), F.col("n").alias("stop"), F.col("rep").alias("lid")))
+    copies = _copies(chained, segments).union(runs).union(whole.where(f"n >= {LEAST_WORDS}").select("id", F.lit(0).alias("start"), F.col("n").alias("stop"), F.col("rep").alias("lid")))
     copies = copies.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "lid")).alias("copies"))
     copies = scratch.materialise(copies, "copies")
 

@@ -154,6 +154,21 @@ def test_passages(spark):
     assert substring.passages(empty(spark)).collect() == []
 
 
+def test_passages_of_stock_phrases(spark):
+    """Every seed of the passage stands first in an unrelated document, nine words of it in each."""
+    rng = random.Random(14)
+    shared = words(60, rng)
+    stock = [" ".join(words(30, rng) + shared[i : i + 9] + words(30, rng)) for i in range(0, 60, 5)]
+    first, then = (" ".join(words(40, rng) + shared + words(40, rng)) for _ in range(2))
+    found = [r for r in substring.passages(corpus(spark, [*stock, first, then])).collect()]
+    assert [(r.id, r.other_id, r.n_words, then[r.start : r.end]) for r in found] == [(len(stock) + 1, len(stock), 60, " ".join(shared))]
+    # parts of the run stand first in documents that hold no more than them
+    parts = [" ".join(words(30, rng) + part + words(30, rng)) for part in (shared[5:40], shared[20:49], shared[30:57])]
+    last = corpus(spark, [*stock, *parts, first, then])
+    got = {r.id: r.n_words for r in substring.passages(last).collect()}
+    assert got[len(stock) + 4] == 60 and set(got) <= {len(stock) + 3, len(stock) + 4}
+
+
 def test_chains_and_alignment():
     anchors = [(0, 10), (5, 15), (12, 22), (3, 400), (20, 31), (50, 5)]
     best = substring.chains(anchors)[0]
