@@ -1,8 +1,8 @@
 """Repeated passages by collinear chaining of k-mer seeds.
 
 Seeds are ``K``-word shingles thinned by minimizers: any run of ``WINDOW + K - 1`` equal words shares one.  A seed's
-first place (smallest document id, then place) is its leader, and every other document that holds it matches the leader
-alone, so a seed in a third of all documents makes no more matches than it has places.  The matches of a document
+first place (smallest document id, then place) is its leader, and every place of it in other documents matches the
+leader alone, so a seed in a third of all documents makes no more matches than it has places.  The matches of a document
 (bounded by its own length) are chained for each leader document: ordered in both texts, best score by a Fenwick tree
 of prefix maxima, with a gap cost linear in the words passed over.  Chains are aligned word by word: between seeds on
 one diagonal or by their longest common subsequence, outwards until the score falls.  The best-scoring stretches, of
@@ -23,7 +23,7 @@ rows; columns of any name pass through ``remove``.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,8 @@ K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 16, 50, 0.8
 #: Words of the shingles that are copies by themselves, and places among which one is sure to be chosen.
 RUN = LEAST_WORDS // 2
 RUN_WINDOW = LEAST_WORDS - RUN + 1
-#: Chains of fewer words than this are chance or a short phrase.
+#: Chains of fewer words than this are chance or a short phrase, unless a seed of theirs recurs in the document: what
+#: has a short period has few seeds, so that alignment decides.
 LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10, 2500
 #: Rows up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -59,7 +60,7 @@ def _slide(x: np.ndarray, w: int, op, fill) -> np.ndarray:
 
 
 def minimizers(words: textops.Words, k: int = K, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its seeds (hash, place of the first word), each hash at its first place."""
+    """For each text its seeds (hash, place of the first word), at every place it is chosen."""
     h = words.hashes
     top = np.iinfo(np.uint64).max
     counts = np.diff(words.first)
@@ -75,8 +76,7 @@ def minimizers(words: textops.Words, k: int = K, window: int = WINDOW) -> Iterat
     chosen = inside & (best[place] == run)
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         at = np.flatnonzero(chosen[a:b])
-        values, first = np.unique(run[a:b][at], return_index=True)
-        yield values.view(np.int64), at[first].astype(np.int32)
+        yield run[a:b][at].view(np.int64), at.astype(np.int32)
 
 
 def _seeded(docs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _seeded(docs: DataFrame) -> DataFrame:
 
 
 def _postings(seeded: DataFrame, seeds: str = "seeds", places: str = "places") -> DataFrame:
-    """(seed, id, at), one row a seed."""
+    """(seed, id, at), one row a place of a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +169,7 @@ def _equal_runs(matches: DataFrame) -> DataFrame:
 
 def _led(seeds: DataFrame, tag: str) -> DataFrame:
     """(id, matches (lid, at, lat)) of (seed, id, at): each document's seeds that an earlier document holds, with their leaders."""
-    leaders = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    leaders = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
     leaders = scratch.materialise(leaders.select("seed", F.col("first.id").alias("lid"), F.col("first.at").alias("lat")), tag)
     return seeds.join(leaders, "seed").where("id <> lid").groupBy("id").agg(F.collect_list(F.struct("lid", "at", "lat")).alias("matches"))
 
@@ -240,9 +240,10 @@ def _chained(matches: DataFrame) -> DataFrame:
                 for lid in sorted(by):
                     if len(by[lid]) < 2:
                         continue
+                    places = Counter(y for _, y in set(by[lid]))
                     for c in chains(by[lid]):
                         (x0, y0), (x1, y1) = c[0], c[-1]
-                        if min(x1 - x0, y1 - y0) + K >= LEAST_CHAIN:
+                        if min(x1 - x0, y1 - y0) + K >= LEAST_CHAIN or max(places[y] for _, y in c) > 1:
                             xs, ys = (np.array(v, dtype=np.int32).tobytes() for v in zip(*c, strict=True))
                             rows.append((own, lid, max(0, x0 - FLANK), x1 + K + FLANK, max(0, y0 - FLANK), y1 + K + FLANK, xs, ys))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
@@ -429,13 +430,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows: list[tuple] = []
             ids, found = b.column(0).to_pylist(), b.column(2).to_pylist()
             for words in textops.chunks(b.column(1)):
-                for j, (i, lo) in enumerate(zip(words.rows, words.first[:-1], strict=True)):
-                    spans = joined([(c["start"], c["stop"], c["lid"]) for c in found[i]])
-                    if spans:
-                        a, e = (np.array([s[k] for s in spans]) for k in (0, 1))
-                        text = np.full(len(spans), j)
-                        ends = words.points(np.concatenate([words.starts[lo + a], words.ends[lo + e - 1]]), np.concatenate([text, text]))
-                        rows += [(ids[i], int(ends[n]), int(ends[len(spans) + n]), int(e[n] - a[n]), s[2]) for n, s in enumerate(spans)]
+                spans = [(j, ids[i], int(lo), *s) for j, (i, lo) in enumerate(zip(words.rows, words.first[:-1], strict=True)) for s in joined([(c["start"], c["stop"], c["lid"]) for c in found[i]])]
+                if spans:
+                    text, lo, a, e = (np.array([s[k] for s in spans]) for k in (0, 2, 3, 4))
+                    ends = words.points(np.concatenate([words.starts[lo + a], words.ends[lo + e - 1]]), np.concatenate([text, text]))
+                    rows += [(s[1], int(ends[n]), int(ends[len(spans) + n]), s[4] - s[3], s[5]) for n, s in enumerate(spans)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "start", "end", "n_words", "other_id"])

@@ -169,6 +169,20 @@ def test_passages_of_stock_phrases(spark):
     assert got[len(stock) + 4] == 60 and set(got) <= {len(stock) + 3, len(stock) + 4}
 
 
+def test_passages_more_than_once(spark):
+    rng = random.Random(15)
+    shared, line = words(55, rng), words(7, rng)
+    edited = [w if j % 20 else f"x{j}" for j, w in enumerate(line * 12, 1)]
+    between = [words(20, rng) for _ in range(5)]
+    again = " ".join(w for b in between[:-1] for w in b + shared) + " " + " ".join(between[-1])
+    texts = [words(30, rng) + shared + words(30, rng), again.split(), words(30, rng) + line * 12 + words(30, rng)]
+    texts += [words(40, rng) + line * 10 + words(40, rng), words(40, rng) + edited + words(40, rng), words(40, rng) + line * 6]
+    found = substring.passages(corpus(spark, [" ".join(t) for t in texts])).collect()
+    assert sorted((r.start, r.end) for r in found if r.id == 1) == [m.span() for m in re.finditer(" ".join(shared), again)]
+    got = {r.id: (r.other_id, r.n_words) for r in found if r.id > 1}
+    assert set(got) == {3, 4} and got[3] == (2, 70) and got[4][0] == 2 and got[4][1] >= 80
+
+
 def test_chains_and_alignment():
     anchors = [(0, 10), (5, 15), (12, 22), (3, 400), (20, 31), (50, 5)]
     best = substring.chains(anchors)[0]
