@@ -6,7 +6,7 @@ leader alone, so a seed in a third of all documents makes no more matches than i
 (bounded by its own length) are chained for each leader document: ordered in both texts, best score by a Fenwick tree
 of prefix maxima, with a gap cost linear in the words passed over.  Chains are aligned word by word: between seeds on
 one diagonal or by their longest common subsequence, outwards until the score falls.  The best-scoring stretches, of
-``SIMILARITY`` equal words, are copies of the leader's; a document's copies are joined where they meet or nearly do,
+``SIMILARITY`` equal words, widened as far as that share holds, are copies of the leader's; a document's copies are joined where they meet or nearly do,
 and those of ``LEAST_WORDS`` or more are its repeated passages.  What stands first, by document id, is never a repeat of what comes later.
 
 Equal runs do not hang on a seed's leader.  Shingles of ``RUN`` words, thinned so that any run of ``LEAST_WORDS`` equal
@@ -23,8 +23,10 @@ rows; columns of any name pass through ``remove``.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import gc
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +36,23 @@ from pyspark.sql import functions as F
 from .arrowed import map_arrow
 from . import scratch, textops
 
-K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 16, 50, 0.8
+K, WINDOW, LEAST_WORDS, SIMILARITY = 5, 4, 50, 0.8
 #: Words of the shingles that are copies by themselves, and places among which one is sure to be chosen.
 RUN = LEAST_WORDS // 2
 RUN_WINDOW = LEAST_WORDS - RUN + 1
-#: Chains of fewer words than this are chance or a short phrase, unless a seed of theirs recurs in the document: what
-#: has a short period has few seeds, so that alignment decides.
+#: Chains of fewer words than this are chance or a short phrase, unless a seed of theirs recurs nearby: what has a
+#: short period has few seeds, so that alignment decides.
 LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10, 2500
 #: Rows up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Seeds are matched in so many parts by their hash, one after the other, so that the disk holds the shuffles of one.
+PARTS = 4
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df``, broadcast if it has few rows; where a column holds lists, their entries count."""
+    n = df.agg(F.sum(F.size(lists))).first()[0] or 0 if lists else df.count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _slide(x: np.ndarray, w: int, op, fill) -> np.ndarray:
@@ -102,13 +108,27 @@ def _seeded(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "id long, n int, d1 long, d2 long, " + ", ".join(f"{c} binary" for c in binaries))
 
 
-def _postings(seeded: DataFrame, seeds: str = "seeds", places: str = "places") -> DataFrame:
-    """(seed, id, at), one row a place of a seed."""
+def _settled(df: DataFrame, tag: str, since: list[str]) -> DataFrame:
+    """``df`` written and read back; tables written for it (after ``since``) and shuffles no longer in use go."""
+    out, spark = scratch.materialise(df, tag), df.sparkSession
+    for path in scratch.paths(spark)[:-1]:
+        if path not in since:
+            scratch.drop(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def _postings(seeded: DataFrame, seeds: str = "seeds", places: str = "places", part: int = 0, parts: int = 1) -> DataFrame:
+    """(seed, id, at), one row a place of a seed; those of one part of the seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seeds = [np.frombuffer(x, dtype=np.int64) for x in b.column(1).to_pylist()]
             at = [np.frombuffer(x, dtype=np.int32) for x in b.column(2).to_pylist()]
+            if parts > 1:
+                mine = [s % parts == part for s in seeds]
+                seeds, at = ([v[m] for v, m in zip(values, mine, strict=True)] for values in (seeds, at))
             if seeds:
                 ids = b.column(0).take(pa.array(np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(at))], names=["seed", "id", "at"])
@@ -143,7 +163,7 @@ def _near(docs: DataFrame, runs: DataFrame) -> DataFrame:
                     columns = [pa.array(np.concatenate(seeds)), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))]
                     yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at"])
 
-    return map_arrow(docs.join(_small(at), "id").select("id", "text", "at"), run, "seed long, id long, at int")
+    return map_arrow(docs.join(_small(at, "at"), "id").select("id", "text", "at"), run, "seed long, id long, at int")
 
 
 def _equal_runs(matches: DataFrame) -> DataFrame:
@@ -168,10 +188,15 @@ def _equal_runs(matches: DataFrame) -> DataFrame:
 
 
 def _led(seeds: DataFrame, tag: str) -> DataFrame:
-    """(id, matches (lid, at, lat)) of (seed, id, at): each document's seeds that an earlier document holds, with their leaders."""
+    """(id, lid, at, lat) of (seed, id, at): each document's seeds that an earlier document holds, with their leaders."""
     leaders = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
     leaders = scratch.materialise(leaders.select("seed", F.col("first.id").alias("lid"), F.col("first.at").alias("lat")), tag)
-    return seeds.join(leaders, "seed").where("id <> lid").groupBy("id").agg(F.collect_list(F.struct("lid", "at", "lat")).alias("matches"))
+    return seeds.join(leaders, "seed").where("id <> lid").select("id", "lid", "at", "lat")
+
+
+def _by_document(matches: DataFrame) -> DataFrame:
+    """(id, matches (lid, at, lat)) of (id, lid, at, lat)."""
+    return matches.groupBy("id").agg(F.collect_list(F.struct("lid", "at", "lat")).alias("matches"))
 
 
 class _PrefixMax:
@@ -227,6 +252,20 @@ def chains(anchors: list[tuple[int, int]], k: int = K, gap: float = GAP_COST) ->
     return found
 
 
+def recurring(anchors: list[tuple[int, int]], within: int = 2 * LEAST_CHAIN) -> set[tuple[int, int]]:
+    """Anchors of a seed that stands in the document again at most ``within`` words away; longer periods have seeds
+    enough for a chain. Of places fewer than ``LEAST_CHAIN`` words apart the first, since its alignment reaches the others."""
+    found, last, kept = set(), {}, {}
+    for x, y in sorted(set(anchors)):
+        if y in last and x - last[y] <= within:
+            for at in (last[y], x):
+                if y not in kept or at - kept[y] >= LEAST_CHAIN:
+                    kept[y] = at
+                    found.add((at, y))
+        last[y] = x
+    return found
+
+
 def _chained(matches: DataFrame) -> DataFrame:
     """(id, lid, x0, x1, y0, y1, xs, ys) of (id, matches): chains, the word ranges they may reach, their anchors."""
 
@@ -240,10 +279,10 @@ def _chained(matches: DataFrame) -> DataFrame:
                 for lid in sorted(by):
                     if len(by[lid]) < 2:
                         continue
-                    places = Counter(y for _, y in set(by[lid]))
+                    again = recurring(by[lid])
                     for c in chains(by[lid]):
                         (x0, y0), (x1, y1) = c[0], c[-1]
-                        if min(x1 - x0, y1 - y0) + K >= LEAST_CHAIN or max(places[y] for _, y in c) > 1:
+                        if min(x1 - x0, y1 - y0) + K >= LEAST_CHAIN or any(a in again for a in c):
                             xs, ys = (np.array(v, dtype=np.int32).tobytes() for v in zip(*c, strict=True))
                             rows.append((own, lid, max(0, x0 - FLANK), x1 + K + FLANK, max(0, y0 - FLANK), y1 + K + FLANK, xs, ys))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
@@ -277,7 +316,7 @@ def _segments(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["id", "a", "b", "words"])
 
-    return map_arrow(docs.join(_small(lists), "id").select("id", "text", "ranges"), run, "id long, a int, b int, words binary")
+    return map_arrow(docs.join(_small(lists, "ranges"), "id").select("id", "text", "ranges"), run, "id long, a int, b int, words binary")
 
 
 def _outwards(equal: np.ndarray) -> int:
@@ -328,6 +367,25 @@ def stretches(flags: np.ndarray, similarity: float, least: int) -> list[tuple[in
     return sorted(found)
 
 
+def widened(flags: np.ndarray, start: int, stop: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """The longest range around a stretch, from one equal word to another, that keeps the share ``similarity`` of equal
+    words and passes over at most ``JOIN_WITHIN`` unequal ones at a time."""
+
+    def options(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far one may go, and the score there."""
+        far = np.flatnonzero(side) + 1
+        apart = np.flatnonzero(np.diff(far, prepend=0) > JOIN_WITHIN + 1)
+        far = far[: apart[0]] if len(apart) else far
+        return np.r_[0, far], np.r_[0, np.arange(1, len(far) + 1) - similarity * far]
+
+    (left, lost), (right, lost_right) = options(flags[:start][::-1]), options(flags[stop:])
+    score = flags[start:stop].sum() - similarity * (stop - start) + 1e-9
+    best_from = np.maximum.accumulate(lost_right[::-1])[::-1]  # falls
+    n = np.searchsorted(-best_from, lost + score, side="right") - 1
+    i = int(np.argmax(np.where(n >= 0, left + right[n], -1)))
+    return (start - int(left[i]), stop + int(right[n[i]])) if n[i] >= 0 else (start, stop)
+
+
 def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = K, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """The stretches of ``x`` (start, end) that copy ``y``, given chained anchors."""
     keep = (xs + k <= len(x)) & (ys + k <= len(y))
@@ -367,7 +425,8 @@ def align(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
     n = min(len(x) - e, len(y) - e - d[-1])
     right = e + _outwards(on(d[-1], e, e + n))
     flags[e:right] = on(d[-1], e, right)
-    return [(left + a, left + b) for a, b in stretches(flags[left:right], similarity, LEAST_CHAIN)]
+    found = stretches(flags[left:right], similarity, LEAST_CHAIN)
+    return [(left + a, left + b) for a, b in sorted({widened(flags[left:right], *s, similarity) for s in found})]
 
 
 def _copies(chained: DataFrame, segments: DataFrame) -> DataFrame:
@@ -416,9 +475,14 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole = scratch.materialise(whole.distinct(), "whole-copies")
 
     searched = seeded.join(_small(whole.select("id")), "id", "left_anti")
-    chained = scratch.materialise(_chained(_led(_postings(searched), "leaders")), "chains")
+    held = scratch.paths(docs.sparkSession)
     near = scratch.materialise(_near(docs, _postings(searched, "runs", "run_places")), "near-runs")
-    runs = _equal_runs(_led(near, "run-leaders"))
+    runs = _settled(_equal_runs(_by_document(_led(near, "run-leaders"))), "equal-runs", held)
+    matches = []
+    for part in range(PARTS):
+        held = scratch.paths(docs.sparkSession)
+        matches.append(_settled(_led(_postings(searched, part=part, parts=PARTS), "leaders"), "matches", held))
+    chained = scratch.materialise(_chained(_by_document(reduce(DataFrame.unionAll, matches))), "chains")
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
     segments = scratch.materialise(_segments(docs, ranges.distinct()), "segments")
     copies = _copies(chained, segments).union(runs).union(whole.where(f"n >= {LEAST_WORDS}").select("id", F.lit(0).alias("start"), F.col("n").alias("stop"), F.col("rep").alias("lid")))
@@ -440,7 +504,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "start", "end", "n_words", "other_id"])
 
     out = "id long, start int, end int, n_words int, other_id long"
-    return map_arrow(docs.join(_small(copies), "id").select("id", "text", "copies"), run, out).distinct()
+    return map_arrow(docs.join(_small(copies, "copies"), "id").select("id", "text", "copies"), run, out).distinct()
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

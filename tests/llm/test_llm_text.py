@@ -183,6 +183,26 @@ def test_passages_more_than_once(spark):
     assert set(got) == {3, 4} and got[3] == (2, 70) and got[4][0] == 2 and got[4][1] >= 80
 
 
+def test_passages_with_many_words_changed(spark):
+    rng = random.Random(16)
+    sources, copies = [], []
+    for n in range(80):
+        shared = [f"p{n}x{j}" for j in range(80)]
+        changed = set(rng.sample(range(1, 79), 12))
+        sources.append(" ".join(words(60, rng) + shared + words(60, rng)))
+        copies.append(" ".join(words(60, rng) + [f"c{n}x{j}" if j in changed else w for j, w in enumerate(shared)] + words(60, rng)))
+    found = {r.id: (r.other_id, r.n_words) for r in substring.passages(corpus(spark, sources + copies)).collect()}
+    assert all(i - 80 == other and n <= 80 for i, (other, n) in found.items())
+    assert len(found) >= 76
+
+
+def test_widened():
+    flags = np.array([1, 0, 0, 0, 0] + [1] * 20 + [0] * 2 + [1] + [0] * 11 + [1] * 4, dtype=bool)
+    assert substring.widened(flags, 5, 25) == (0, 25)
+    assert substring.widened(np.array([1, 0] + [1] * 20 + [0, 0, 1], dtype=bool), 2, 22) == (0, 25)
+    assert substring.widened(np.ones(12, dtype=bool), 0, 12) == (0, 12)
+
+
 def test_chains_and_alignment():
     anchors = [(0, 10), (5, 15), (12, 22), (3, 400), (20, 31), (50, 5)]
     best = substring.chains(anchors)[0]
