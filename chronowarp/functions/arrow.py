@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import series
 
@@ -185,7 +186,7 @@ def grouped(distance: Distance, left: list, right: list, cutoff: np.ndarray | No
 def vectorised(distance: Distance) -> Callable[..., Column]:
     """``distance`` as an Arrow function of two series, and a cutoff if wanted (null: none)."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b, c in parts:
             found = grouped(distance, a.tolist(), b.tolist(), c.to_numpy(dtype=np.float64))
@@ -233,7 +234,7 @@ def path_batch(a: np.ndarray, b: np.ndarray, exponent: float = 2, window: int |
 def vectorised_path(exponent: float = 2, window: int | None = None) -> Callable[..., Column]:
     """``elastic.dtw_path`` as an Arrow function of two series: struct(cost, max_deviation)."""
 
-    @F.pandas_udf("cost double, max_deviation int")
+    @F.pandas_udf(T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("max_deviation", T.IntegerType())]))
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b in parts:
             cost, far = np.full(len(a), np.nan), np.full(len(a), -1)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import Distance, grouped
 
@@ -43,7 +44,7 @@ def _function(name: str):
                 found[some] = grouped(Distance(name, p), a.iloc[some].tolist(), b.iloc[some].tolist(), cutoff[some])
             yield pd.Series(found).where(a.notna().to_numpy() & b.notna().to_numpy(), None)
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, T.DoubleType(), F.PandasUDFType.SCALAR_ITER)
 
 
 def register(spark: SparkSession) -> list[str]:

@@ -2,6 +2,9 @@
 
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import naive
 import numpy as np
@@ -74,3 +77,10 @@ def test_sql(spark):
     for r in got.collect():
         for c in "dwmgl":
             assert r[c] == want[r.i][c] or r[c] == pytest.approx(want[r.i][c])
+
+
+def test_registry_without_a_session():
+    """The driver reads the registry before any session exists."""
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(s) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
