@@ -92,6 +92,15 @@ class Words:
             ends -= (_KIND[d[ends - 1]] == 3) & (ends - starts > 1)
         return starts, ends
 
+    def shapes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each span's class of length and of whether it has digits, punctuation, other than ASCII."""
+        code = np.digitize(ends - starts, (4, 8, 13)).astype(np.uint64)
+        for has in (_KIND[self.data] == 2, _KIND[self.data] == 3, self.data >= 128):
+            total = np.zeros(len(self.data) + 1, dtype=np.int64)
+            np.cumsum(has, out=total[1:])
+            code = code * np.uint64(2) + (total[ends] > total[starts]).astype(np.uint64)
+        return mix(code + np.uint64(1))
+
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of one kind inside words (letters, digits, punctuation): starts, ends, each text's first run."""
         kind = _KIND[self.data]

@@ -253,22 +253,73 @@ def test_toxicity_and_quality(spark):
 def test_marginals_by_enumeration():
     import itertools
 
-    rng = np.random.default_rng(2)
-    emit, t = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
-    lengths = np.array([5, 3, 1])
-    p, pairs = toxicity.marginals(emit, lengths, t)
+    rng = np.random.default_rng(3)
+    size, place, text = np.array([5, 7, 1, 4, 6]), np.array([0, 3, 1, 2, 6, 0, 5]), np.array([0, 0, 1, 1, 1, 2, 4])
+    c = toxicity.Chains(place, text, size)
+    emit, t, other = rng.normal(size=7) * 2, rng.normal(size=(2, 2)), -0.7
+    flat = np.empty(7)
+    flat[c.slot] = emit
+    p, nothing, steps = toxicity.forward_backward(c, flat, other, t)
     expected = np.zeros((2, 2))
-    for r, n in enumerate(lengths):
-        weight, hits, steps = 0.0, np.zeros(n), np.zeros((2, 2))
+    for d, n in enumerate(size):
+        e = np.full(n, other)
+        e[place[text == d]] = emit[text == d]
+        weight, hits, own, clean = 0.0, np.zeros(n), np.zeros((2, 2)), 0.0
         for path in itertools.product((0, 1), repeat=int(n)):
-            w = np.exp(sum(emit[r, i] for i in range(n) if path[i]) + sum(t[path[i], path[i + 1]] for i in range(n - 1)))
+            whole = (0, *path)
+            w = np.exp(sum(e[i] for i in range(n) if path[i]) + sum(t[whole[i], whole[i + 1]] for i in range(n)))
             weight += w
             hits += w * np.array(path)
-            for i in range(n - 1):
-                steps[path[i], path[i + 1]] += w
-        assert p[r, :n] == pytest.approx(hits / weight)
-        expected += steps / weight
-    assert pairs == pytest.approx(expected)
+            for i in range(n):
+                own[whole[i], whole[i + 1]] += w
+            clean = clean if any(path) else w
+        expected += own / weight
+        assert nothing[list(c.order).index(d)] == pytest.approx(-np.log(clean / weight))
+        for j in np.flatnonzero(text == d):
+            assert p[c.slot[j]] == pytest.approx(hits[place[j]] / weight)
+    assert steps == pytest.approx(expected)
+
+
+def test_toxicity_is_not_learned_from_names_copies_or_length(spark):
+    rng = random.Random(18)
+    names = [f"n{i}q" for i in range(6000)]
+    rows, labels = [], []
+    for i in range(1500):
+        w = words(rng.randrange(20, 120), rng) + [rng.choice(names) for _ in range(4)]
+        rng.shuffle(w)
+        if i % 6 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(["grub", "loutish"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 6 == 0)))
+    copied = words(80, rng) + ["grub"]
+    for i in range(1500, 1560):  # near copies of one toxic document, whose words mean nothing
+        w = list(copied)
+        w[rng.randrange(60)] = rng.choice(VOCABULARY)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1))
+    rows += [(2000 + i, " ".join(copied[10 * i : 10 * i + 10] + words(30, rng))) for i in range(8)]  # clean, with words of the copies
+    rows += [(2100, " ".join(words(150_000, rng))), (2101, " ".join(words(40_000, rng) + ["grub"]))]  # about a megabyte
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id % 3 <> 1"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    aside = [i for i in range(1500) if i % 3 == 1]
+    assert np.mean([got[i].predicted for i in aside if i % 6 == 0] or [1]) >= 0.95 and np.mean([got[i].predicted for i in aside if i % 6]) <= 0.01
+    assert [got[2000 + i].predicted for i in range(8)] == [0] * 8 and got[2100].predicted == 0 and got[2101].predicted == 1
+    assert [rows[-1][1][s.start : s.end] for s in got[2101].spans] == ["grub"]
+    # a text without features scores alike at every length
+    assert abs(got[2100].score - got[2000].score) < 0.05
+
+
+def test_sample_has_no_near_copies(spark):
+    from chronowarp.llm import fitting
+
+    rng = random.Random(19)
+    base = words(100, rng)
+    texts = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in range(30)] + [" ".join(words(50, rng)) for _ in range(20)] + ["x " * 30_000, None, ""]
+    labels = spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, toxic int")
+    found, y, share = fitting.sample(corpus(spark, texts), labels, "toxic")
+    assert 21 <= len(found) <= 24 and share == 1.0 and set(y.tolist()) == {1}
+    assert sum(t.startswith(" ".join(base[:1])) or " ".join(base[50:60]) in t for t in found.to_pylist()) <= 3
 
 
 def test_personal_data(spark):
