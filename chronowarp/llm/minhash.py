@@ -6,12 +6,15 @@ are one class.  The smallest ``LISTED`` values of each class are put in inverted
 * cold lists (at most ``COLD`` classes): union-sketch estimates of all co-members; a pair of whole sets is decided on
   the spot, other pairs whose estimate lies within five standard errors of the threshold are confirmed on full sets;
 * hot lists (a common passage, a large group of near copies): only classes with few cold values need them, as any two
-  similar classes of which one has many cold values share a cold one.  Their full sets are compared in blocks.  A first
-  pass takes each block with a few pivots of the list; the second leaves out what is then known to be connected, and
-  compares the rest with everything in the list.
+  similar classes of which one has many cold values share a cold one.  Of these, a class of whose full set more than
+  the share 1 - J is held by no other of them can be similar to none, and leaves; what else is there is counted again
+  without it, until hardly any leave.  The full sets of the others are compared in blocks.  A first pass takes each
+  block with a few pivots of the list; the second leaves out what is then known to be connected, and compares the rest
+  with everything in the list.
 
-Two sets at the threshold J miss each other in the lists with a probability of about (1-J)**10 at most.  Only links that
-join two components are kept, which loses no component.  Estimates never decide a link; full sets do.
+Two sets at the threshold J miss each other in the lists with a probability of about (1-J)**8 at most (``listed`` and
+``hot_listed`` make that smaller).  Only links that join two components are kept, which loses no component.  Estimates
+never decide a link; full sets do.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing; fewer than k
 words: the whole sequence is one shingle; repeated rows are members of one class; a null id is a member without a
@@ -33,7 +36,7 @@ from . import scratch, textops
 from .components import components
 
 SKETCH, LISTED, COLD, FEW_COLD, HOT_LISTED = 64, 16, 48, 10, 8
-BLOCK, BLOCK_BYTES, PIVOTS = 512, 8 << 20, 8
+BLOCK, BLOCK_BYTES, PIVOTS = 1024, 8 << 20, 8
 #: Ids up to this number are sent to every executor (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -169,6 +172,30 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return map_arrow(both, run, "a long, b long")
 
 
+def _supported(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of the written ``sets`` (id, set) that can be similar to another: enough of their elements are held by
+    other rows too. Counting again without those that leave lets others leave; rounds end when few do."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(s, dtype=np.int64) for s in b.column(1).to_pylist()]
+            if found:
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids], names=["element", "id"])
+
+    n = sets.count()
+    while n:
+        held = map_arrow(sets, elements, "element long, id long").groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+        alone = scratch.materialise(held.where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "unshared", n)
+        size = F.octet_length("set") / 8
+        left = sets.join(_small(alone), "id", "left").where(100 * (size - F.coalesce("alone", F.lit(0))) >= percent * size).select("id", "set")
+        sets, before = scratch.materialise(left, "supported"), n
+        n = sets.count()
+        if n > 0.9 * before:
+            break
+    return sets
+
+
 def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
     """Links between the sides (0 and 1; 2: both) of each group of (key..., id, side, comp, set), a forest of them."""
 
@@ -195,7 +222,10 @@ def _hot_links(hot: DataFrame, docs: DataFrame, links: DataFrame, k: int, percen
     """Links among classes that share a hot value; ``hot``: written (value, id)."""
     n = hot.count()
     ids = scratch.materialise(hot.select("id").distinct(), "hot-ids", n)
-    sets = scratch.materialise(full_sets(docs.join(_small(ids), "id", "left_semi"), k), "hot-sets")
+    sets = _supported(scratch.materialise(full_sets(docs.join(_small(ids), "id", "left_semi"), k), "hot-sets"), percent)
+    ids = scratch.materialise(sets.select("id"), "supported-ids", n)
+    hot = scratch.materialise(hot.join(_small(ids), "id", "left_semi").select("value", "id"), "hot-supported", n)
+    n = hot.count()
 
     def members(*keys: str):
         return F.collect_list(F.struct("id", "side", "comp", "set")).alias("members")
@@ -236,25 +266,26 @@ def _pivots(hot: DataFrame) -> DataFrame:
     return hot.groupBy("value", part.alias("part")).agg(F.min("id").alias("id")).select("value", "id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED, hot_listed: int = HOT_LISTED) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``: sets of k-word shingles are linked when
-    100 * intersection >= percent * union; kept is true for the row whose id names the component."""
+    100 * intersection >= percent * union; kept is true for the row whose id names the component. ``listed``: retained
+    values of each class in inverted lists, of ``SKETCH``; ``hot_listed``: those among long lists that are followed."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = scratch.materialise(sketches(docs, k), "sketches")
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"))
     classes = scratch.materialise(classes.where("id is not null"), "classes")
     n = classes.count()
 
-    value = F.explode(F.expr(f"transform(sequence(0, least({LISTED}, octet_length(sketch) div 8) - 1), i -> substring(sketch, i * 8 + 1, 8))"))
+    value = F.explode(F.expr(f"transform(sequence(0, least({listed}, octet_length(sketch) div 8) - 1), i -> substring(sketch, i * 8 + 1, 8))"))
     postings = classes.select(value.alias("value"), "id")
-    sizes = scratch.materialise(postings.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "list-sizes", n * LISTED)
+    sizes = scratch.materialise(postings.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "list-sizes", n * listed)
     shared = scratch.materialise(postings.join(sizes, "value"), "postings")
     lists = shared.where(f"size <= {COLD}").groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids").distinct()
     lists = lists.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("id"))
     lists = scratch.materialise(lists, "lists")
     members = F.collect_list(F.struct("id", "n", "sketch")).alias("members")
     cold = lists.join(classes.select("id", "n", "sketch"), "id").groupBy("list").agg(members).select("members")
-    pairs = scratch.materialise(_cold_pairs(cold, percent).distinct(), "pairs", n * LISTED)
+    pairs = scratch.materialise(_cold_pairs(cold, percent).distinct(), "pairs", n * listed)
     links = pairs.where("sure").select("a", "b")
     open_pairs = pairs.where("not sure").select("a", "b")
     first = scratch.materialise(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-first", n)
@@ -264,12 +295,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     for side in ("a", "b"):
         left = left.join(named.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
     left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    links = links.union(scratch.materialise(_confirm(scratch.materialise(left, "pairs-left", n * LISTED), docs, k, percent), "links-left"))
+    links = links.union(scratch.materialise(_confirm(scratch.materialise(left, "pairs-left", n * listed), docs, k, percent), "links-left"))
 
     hot = shared.where(f"size > {COLD}")
-    few = hot.groupBy("id").agg(F.count(F.lit(1)).alias("n_hot"), F.slice(F.array_sort(F.collect_list("value")), 1, HOT_LISTED).alias("values"))
-    few = few.join(classes.select("id", "n"), "id").where(f"least(n, {LISTED}) - n_hot < {FEW_COLD}")
-    hot = scratch.materialise(few.select(F.explode("values").alias("value"), "id"), "hot", n * HOT_LISTED)
+    few = hot.groupBy("id").agg(F.count(F.lit(1)).alias("n_hot"), F.slice(F.array_sort(F.collect_list("value")), 1, hot_listed).alias("values"))
+    few = few.join(classes.select("id", "n"), "id").where(f"least(n, {listed}) - n_hot < {FEW_COLD}")
+    hot = scratch.materialise(few.select(F.explode("values").alias("value"), "id"), "hot", n * hot_listed)
     if not hot.isEmpty():
         links = links.union(scratch.materialise(_hot_links(hot, docs, links, k, percent), "hot-links"))
     named = components(links)
