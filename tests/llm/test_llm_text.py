@@ -345,12 +345,51 @@ def test_personal_data(spark):
 
 
 def test_added_spans_and_redaction(spark):
+    card = "4111 1111 1111 1111"
     texts = ["call (555) 123-4567 now", "write to j.doe (at) example (dot) org please", "see version 10.12.2019 there", "order 978-12-3456-789-01", "mail a@b.co or +1 (017) 555-7713.", None, "nothing"]
-    docs = corpus(spark, texts)
-    got = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.listed("spans").alias("s")).collect()}
-    assert got[0] == "phone:5:19" and got[1].startswith("email:9:") and got[2] == "" and got[3] == "" and got[6] == ""
+    texts += [f"x +1 (569) 555-6633 {card} y", f"n {card} {card.replace(' ', '')} z", "from 10[.]20[.]30[.]40 here", "a@b.co " * 3000 + "call 555-123-4567 " * 1000]
+    docs = corpus(spark, texts).withColumns({c: F.lit(1) for c in ("row", "text_", "candidates", "free", "margins", "features", "base_spans")})
+    got = {r.doc_id: r for r in pii.find(docs).select("doc_id", "spans", pii.listed("spans").alias("s"), pii.listed("base_spans").alias("b")).collect()}
+    assert got[0].s == "phone:5:19" and got[1].s.startswith("email:9:") and got[2].s == "" and got[3].s == "" and got[6].s == ""
+    # a base pattern takes both numbers for one, and drops them; the candidates do not
+    assert got[7].b == "" and got[7].s == "phone:2:19,card:20:39" and got[8].b == "" and got[8].s == "card:2:21,card:22:38" and got[9].s == "ip:5:22"
+    assert got[10].s.count("email") == 3000 and got[10].s.count("phone") == 1000
+    for r in got.values():
+        assert all(texts[r.doc_id][s.start : s.end] == s.hit for s in r.spans)
+        added = [s for s in r.spans if f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" not in r.b.split(",")]
+        ends = 0
+        for s in added:  # apart from one another and from every base span
+            assert s.start >= ends
+            ends = s.end
     clean = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert clean[0].text == "call [PHONE] now" and clean[4].text == "mail [EMAIL] or [PHONE]." and clean[5].text is None and clean[6].text == "nothing" and clean[0].score == "other"
+    assert clean[7].text == "x [PHONE] [CARD] y" and clean[10].text == "[EMAIL] " * 3000 + "call [PHONE] " * 1000 and clean[0].free == 1
+
+
+def test_choice_among_candidates(spark):
+    """Sweeps against plain loops: none may meet a base span, and of overlapping ones the best margin stays."""
+    rng = random.Random(20)
+    rows = []
+    for i in range(60):
+        n = rng.randrange(0, 90)
+        span = lambda: (lambda a: (a, rng.randrange(4), a + rng.randrange(1, 9)))(rng.randrange(200))
+        rows.append((i, sorted(span() for _ in range(rng.randrange(0, 6))), sorted((*span(), rng.randrange(100) / 10) for _ in range(n))))
+    df = spark.createDataFrame(rows, "i int, base array<struct<start:int,kind:int,end:int>>, c array<struct<start:int,kind:int,end:int,margin:double>>")
+    base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit("").alias("hit")))
+    free = pii._free(base, F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.lit("").alias("hit"), c["margin"].cast("string").alias("before"), F.lit("").alias("after"))))
+    scored = F.transform("free", lambda c: F.struct(c["before"].cast("double").alias("margin"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.lit("").alias("hit")))
+    for r in df.withColumn("free", free).withColumn("best", pii._best(scored)).collect():
+        want = [tuple(c) for c in r.c if not any(b.start < c.end and c.start < b.end for b in r.base)]
+        assert sorted((c.start, c.kind, c.end, float(c.before)) for c in r.free) == sorted(want)
+        held, out = None, []
+        for c in sorted(want, key=lambda c: (c[0], c[1], c[2], str(c[3]))):
+            if held is None or c[0] >= held[2]:
+                out += [held] if held else []
+                held = c
+            elif (c[3], c[2] - c[0]) > (held[3], held[2] - held[0]):
+                held = c
+        out += [held] if held else []
+        assert [(b.start, b.kind, b.end, b.margin) for b in r.best] == out
 
 
 def test_packing(spark):
