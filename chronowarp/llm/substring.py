@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowed import map_arrow
@@ -45,7 +45,8 @@ RUN_WINDOW = LEAST_WORDS - RUN + 1
 LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10, 2500
 #: Rows up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Seeds are matched in so many parts by their hash, one after the other, so that the disk holds the shuffles of one.
+#: Seeds are matched in so many parts (a power of two) by their hash, one after the other, so that the disk holds the
+#: shuffles of one.
 PARTS = 4
 
 
@@ -85,27 +86,49 @@ def minimizers(words: textops.Words, k: int = K, window: int = WINDOW) -> Iterat
         yield run[a:b][at].view(np.int64), at.astype(np.int32)
 
 
+def _listed(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(v) for v in lists])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else [], kind))
+
+
+def _marked(seeds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``at`` (rising), with -1 - at where the seed stood in the text before."""
+    out = -1 - at
+    first = np.unique(seeds, return_index=True)[1]
+    out[first] = at[first]
+    return out
+
+
 def _seeded(docs: DataFrame) -> DataFrame:
-    """(id, n, d1, d2, seeds, places, runs, run_places) of (id, text): word count, digests of the word sequence, its
-    seeds, its thinned shingles of ``RUN`` words."""
-    binaries = ("seeds", "places", "runs", "run_places")
+    """(id, n, d1, d2, seeds<i>, places<i>, runs, run_places) of (id, text): word count, digests of the word sequence,
+    its seeds by part of their hash, with marked places, its thinned shingles of ``RUN`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, found = [], [], [], [[], [], [], []]
+            n, d1, d2, runs, places = [], [], [], [], []
+            parts: list[tuple[list, list]] = [([], []) for _ in range(PARTS)]
             for words in textops.chunks(b.column(1)):
                 h = words.hashes
-                for short, long, a, e in zip(minimizers(words), minimizers(words, RUN, RUN_WINDOW), words.first[:-1], words.first[1:], strict=True):
+                for (seeds, at), long, a, e in zip(minimizers(words), minimizers(words, RUN, RUN_WINDOW), words.first[:-1], words.first[1:], strict=True):
                     n.append(int(e - a))
                     turn = textops.mix(h[a:e] + np.arange(e - a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     d1.append(int(turn.sum(dtype=np.uint64).view(np.int64)))
                     d2.append(int(textops.mix(turn).sum(dtype=np.uint64).view(np.int64)))
-                    for out, values in zip(found, (*short, *long), strict=True):
-                        out.append(values.tobytes())
-            columns = [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *(pa.array(v, pa.binary()) for v in found)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", *binaries])
-
-    return map_arrow(docs, run, "id long, n int, d1 long, d2 long, " + ", ".join(f"{c} binary" for c in binaries))
+                    at = _marked(seeds, at)
+                    which = seeds & (PARTS - 1)
+                    for i, (own, where) in enumerate(parts):
+                        mine = which == i
+                        own.append(seeds[mine])
+                        where.append(at[mine])
+                    runs.append(long[0])
+                    places.append(long[1])
+            columns = [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+            for own, where in (*parts, (runs, places)):
+                columns += [_listed(own, pa.int64()), _listed(where, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", *names])
+
+    names = [f"{c}{i}" for i in range(PARTS) for c in ("seeds", "places")] + ["runs", "run_places"]
+    return map_arrow(docs, run, "id long, n int, d1 long, d2 long, " + ", ".join(f"{c} array<{'int' if 'places' in c else 'long'}>" for c in names))
 
 
 def _settled(df: DataFrame, tag: str, since: list[str]) -> DataFrame:
@@ -119,25 +142,14 @@ def _settled(df: DataFrame, tag: str, since: list[str]) -> DataFrame:
     return out
 
 
-def _postings(seeded: DataFrame, seeds: str = "seeds", places: str = "places", part: int = 0, parts: int = 1) -> DataFrame:
-    """(seed, id, at), one row a place of a seed; those of one part of the seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seeds = [np.frombuffer(x, dtype=np.int64) for x in b.column(1).to_pylist()]
-            at = [np.frombuffer(x, dtype=np.int32) for x in b.column(2).to_pylist()]
-            if parts > 1:
-                mine = [s % parts == part for s in seeds]
-                seeds, at = ([v[m] for v, m in zip(values, mine, strict=True)] for values in (seeds, at))
-            if seeds:
-                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), ids, pa.array(np.concatenate(at))], names=["seed", "id", "at"])
-
-    return map_arrow(seeded.select("id", seeds, places), run, "seed long, id long, at int")
+def _postings(seeded: DataFrame, seeds: str, places: str) -> DataFrame:
+    """(seed, id, at), one row a place of a seed."""
+    rows = seeded.select("id", F.explode(F.arrays_zip(seeds, places)).alias("x"))
+    return rows.select(F.col(f"x.{seeds}").alias("seed"), "id", F.col(f"x.{places}").alias("at"))
 
 
 def _near(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(seed, id, at): every shingle of ``RUN`` words that starts less than ``RUN_WINDOW`` words from a thinned one
+    """(seed, id, marked at): every shingle of ``RUN`` words that starts less than ``RUN_WINDOW`` words from a thinned one
     which two documents hold, (seed, id, at) of ``runs``."""
     shared = runs.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("seed")
     shared = scratch.materialise(shared, "shared-runs")
@@ -157,7 +169,7 @@ def _near(docs: DataFrame, runs: DataFrame) -> DataFrame:
                     np.add.at(change, (found + RUN_WINDOW).clip(max=n), -1)
                     start = np.flatnonzero(np.cumsum(change)[:n] > 0)
                     seeds.append(textops.rolled(h[lo:hi], RUN)[start].view(np.int64))
-                    places.append(start.astype(np.int32))
+                    places.append(_marked(seeds[-1], start.astype(np.int32)))
                     rows.append(np.full(len(start), i))
                 if rows:
                     columns = [pa.array(np.concatenate(seeds)), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))]
@@ -188,10 +200,12 @@ def _equal_runs(matches: DataFrame) -> DataFrame:
 
 
 def _led(seeds: DataFrame, tag: str) -> DataFrame:
-    """(id, lid, at, lat) of (seed, id, at): each document's seeds that an earlier document holds, with their leaders."""
-    leaders = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
-    leaders = scratch.materialise(leaders.select("seed", F.col("first.id").alias("lid"), F.col("first.at").alias("lat")), tag)
-    return seeds.join(leaders, "seed").where("id <> lid").select("id", "lid", "at", "lat")
+    """(id, lid, at, lat) of (seed, id, marked at): each document's seeds that an earlier document holds, with their
+    leaders: that document and the seed's first place in it."""
+    first = F.min_by("at", F.when(F.col("at") >= 0, F.col("id")))
+    leaders = seeds.groupBy("seed").agg(F.min("id").alias("lid"), first.alias("lat"), F.max("id").alias("last")).where("lid <> last")
+    leaders = scratch.materialise(leaders.select("seed", "lid", "lat"), tag)
+    return seeds.join(leaders, "seed").where("id <> lid").select("id", "lid", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "lat")
 
 
 def _by_document(matches: DataFrame) -> DataFrame:
@@ -481,7 +495,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     matches = []
     for part in range(PARTS):
         held = scratch.paths(docs.sparkSession)
-        matches.append(_settled(_led(_postings(searched, part=part, parts=PARTS), "leaders"), "matches", held))
+        matches.append(_settled(_led(_postings(searched, f"seeds{part}", f"places{part}"), "leaders"), "matches", held))
     chained = scratch.materialise(_chained(_by_document(reduce(DataFrame.unionAll, matches))), "chains")
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
     segments = scratch.materialise(_segments(docs, ranges.distinct()), "segments")
@@ -510,16 +524,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (same columns) without their repeated passages; rows of which nothing but white space is left go."""
     found = passages(docs, id_col, text_col)
-    spans = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    spans = scratch.materialise(spans.withColumnRenamed("id", "__id"), "passages")
-    rows = docs.join(_small(spans), docs[id_col].cast("long") == F.col("__id"), "left")
-    text = F.col(text_col)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    left = F.aggregate(
-        "__spans",
-        state,
-        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"])).alias("out")),
-        lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))),
-    )
-    rows = rows.withColumn("__left", left).where(F.col("__spans").isNull() | F.col("__left").rlike(r"\S"))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), F.col("__left")).otherwise(text)).select(*docs.columns)
+    spans = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = scratch.materialise(spans, "passages")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(_small(spans), "id", "left")
+    text = F.col("text")
+
+    def before(i: Column) -> Column:
+        """The end of the span before."""
+        return F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+
+    pieces = F.transform("spans", lambda x, i: text.substr(before(i) + 1, x["start"] - before(i)))
+    left = F.concat(F.array_join(pieces, ""), text.substr(F.element_at("spans", -1)["end"] + 1, F.length(text)))
+    rows = rows.withColumn("left", F.when(F.col("spans").isNotNull(), left)).where(F.col("spans").isNull() | F.col("left").rlike(r"\S"))
+    changed = F.when(F.col("spans").isNotNull(), F.col("left")).otherwise(text)
+    return rows.select(*(changed.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
