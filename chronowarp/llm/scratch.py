@@ -1,23 +1,46 @@
 """Materialised intermediate tables in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``; a lost executor then costs a re-read, not a
-re-computation.  Only where the session names no folder (unit tests) is a temporary one set.
+re-computation.  Where a local session names no folder (unit tests) a temporary one is set; on a cluster that is an error.
+
+Every table belongs to a scope, the name given to the innermost ``scoped`` block that wrote it; ``clear`` drops the
+tables of one scope and leaves those of others, which unread frames may still need.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LIVE: dict[str, list[str]] = {}
+_LIVE: dict[tuple[str, str], list[str]] = {}
+_SCOPES: list[str] = [""]
+
+
+@contextmanager
+def scoped(name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name``."""
+    _SCOPES.append(name)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def _live(spark: SparkSession, scope: str | None = None) -> list[str]:
+    return _LIVE.setdefault((spark.sparkContext.applicationId, _SCOPES[-1] if scope is None else scope), [])
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder; a local temporary one only if the session has none."""
+    """The shared folder; a temporary one only if a local session has none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronowarp-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -28,7 +51,7 @@ def write(df: DataFrame, tag: str) -> str:
     """Write ``df`` as Parquet under a fresh path and return that path."""
     spark = df.sparkSession
     path = f"{base_dir(spark)}/chronowarp/{tag}-{uuid.uuid4().hex}"
-    _LIVE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _live(spark).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return path
 
@@ -49,7 +72,7 @@ def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
 def keep(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` written and read back, and its path; ``clear`` leaves it alone."""
     path = write(df, tag)
-    _LIVE[df.sparkSession.sparkContext.applicationId].remove(path)
+    _live(df.sparkSession).remove(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -57,17 +80,17 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete one written table."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    live = _LIVE.get(spark.sparkContext.applicationId, [])
-    if path in live:
-        live.remove(path)
+    for (application, _), live in _LIVE.items():
+        if application == spark.sparkContext.applicationId and path in live:
+            live.remove(path)
 
 
-def paths(spark: SparkSession) -> list[str]:
-    """Tables written so far by this application and not dropped."""
-    return list(_LIVE.get(spark.sparkContext.applicationId, []))
+def paths(spark: SparkSession, scope: str | None = None) -> list[str]:
+    """Tables of a scope (None: the present one) written so far by this application and not dropped."""
+    return list(_live(spark, scope))
 
 
-def clear(spark: SparkSession) -> None:
-    """Drop every written table; call it only when results built on them have been saved."""
-    for path in paths(spark):
+def clear(spark: SparkSession, scope: str) -> None:
+    """Drop every table of a scope; call it only when results built on them have been saved."""
+    for path in paths(spark, scope):
         drop(spark, path)

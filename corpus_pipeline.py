@@ -1,12 +1,18 @@
 """A training corpus from raw documents: five stages, each written and read again before the next.
 
 A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
-``documents``.  When a stage starts, what earlier stages wrote for themselves is no longer needed and goes, since their
-results have been written by then.
+``documents``.  When a stage starts, what earlier stages of the same folder's run wrote for themselves is no longer
+needed and goes, since their results have been written by then; tables of other runs and operators stay.
+
+Defined results, in every stage: rows with a null or empty text stay (packing gives them one piece of one token); rows
+with a null id stay and are compared with nothing; repeated rows are treated alike; an empty table gives no rows;
+columns besides doc_id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,35 +28,50 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _stage(work):
+    """``work`` with its intermediate tables in the scope of the folder's run, cleared of what stages before it left."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.clear(spark, f"pipeline {sf_dir}")
+        with scratch.scoped(f"pipeline {sf_dir}"):
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field does not call toxic."""
-    scratch.clear(spark)
     return toxicity.reject(docs, _table(spark, sf_dir, "labels"))
 
 
+@_stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component at 0.8 over five-word shingles; rows without an id stay."""
-    scratch.clear(spark)
-    gone = minhash.near_duplicates(docs, k=5, percent=80).where("not kept and id is not null").select(F.col("id").alias("__gone"))
-    gone = scratch.materialise(gone.distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """The document with the smallest id of each component at 0.8 over five-word shingles; rows without an id stay, and
+    an id stays whole where one of its texts does."""
+    found = minhash.near_duplicates(docs, k=5, percent=80).where("id is not null")
+    gone = found.groupBy("id").agg(F.max("kept").alias("stays")).where("not stays").select(F.col("id").alias("gone"))
+    gone = scratch.materialise(gone, "near-copies")
+    rows = docs.select(F.col("doc_id").cast("long").alias("gone"), F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, "gone", "left_anti").select("row.*")
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat an earlier document's."""
-    scratch.clear(spark)
     return _recounted(substring.remove(docs))
 
 
+@_stage
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    scratch.clear(spark)
     return _recounted(pii.redact(docs))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 2048 tokens."""
-    scratch.clear(spark)
     pieces = packing.pieces(docs)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *packing.PLACES))
 
