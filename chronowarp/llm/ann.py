@@ -5,13 +5,15 @@ is encoded by beam search over them; kept with its codes is the factor that righ
 the vector.  A query makes one table of inner products with all code words, and a candidate's score is the sum of
 ``LEVELS`` look-ups times its factor.
 
-Queries and candidates are dealt to blocks by hash and each block of queries meets each of candidates: every row is
-scored, none is gathered with more than a block.  In a block equal vectors are one, the ``RERANK`` best by look-up are
-scored exactly on the original vectors, and the best k go on; the last step ranks them for each query.
+Equal vectors are one candidate, which keeps its k + 1 smallest ids.  Queries and candidates are dealt to blocks by hash
+and each block of queries meets each of candidates: every row is scored, none is gathered with more than a block.
+Candidates go there as codes and factors alone, some twenty bytes each.  The ``rerank`` best of each query by look-up,
+over all blocks, are joined with their vectors and scored exactly; the k best of those are the result.  Recall grows
+with ``rerank``.
 
 Defined results: unusable vectors (null, empty, zero, null or non-finite components) and rows with a null id neither
-ask nor answer; only vectors of the commonest width take part; ties go to the smaller id; rows that repeat an id are
-candidates each, though never of their own id; an empty table gives no rows.
+ask nor answer; vectors of each width are searched apart, with codebooks of their own; ties go to the smaller id; rows
+that repeat an id are candidates each, though never of their own id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import window as W
 from .arrowed import map_arrow
 from . import scratch, vectors
 
-LEVELS, WORDS, BEAM = 16, 128, 4
-QUERY_BLOCK, BLOCK, RERANK = 1024, 4096, 384
+LEVELS, WORDS, BEAM = 24, 256, 4
+QUERY_BLOCK, BLOCK, RERANK = 1024, 8192, 384
 
 
 def codebooks(sample: np.ndarray, levels: int = LEVELS, words: int = WORDS) -> np.ndarray:
@@ -45,115 +47,126 @@ def codebooks(sample: np.ndarray, levels: int = LEVELS, words: int = WORDS) -> n
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes (rows, levels) by beam search: at each level the ``beam`` best sums so far are continued."""
-    levels, words, width = books.shape
-    flat = books.reshape(-1, width)
-    gram = (flat @ flat.T).astype(np.float32)
-    own = np.diag(gram).reshape(levels, words)
-    inner = (x @ flat.T).astype(np.float32).reshape(len(x), levels, words)
+    width = books.shape[2]
+    rest = x.astype(np.float32)[:, None, :]  # what each sum so far leaves
     codes = np.zeros((len(x), 1, 0), dtype=np.int64)
-    score = np.zeros((len(x), 1), dtype=np.float32)  # squared error less the squared norm
+    error = (rest * rest).sum(2)
     rows = np.arange(len(x))[:, None]
-    for level in range(levels):
-        block = gram[:, level * words : (level + 1) * words]
-        met = np.zeros((*score.shape, words), dtype=np.float32)
-        for j in range(level):
-            met += block[codes[:, :, j] + j * words]
-        trial = (score[:, :, None] - 2 * inner[:, None, level] + own[level] + 2 * met).reshape(len(x), -1)
+    for book in books.astype(np.float32):
+        inner = (rest.reshape(-1, width) @ book.T).reshape(*error.shape, len(book))
+        trial = (error[:, :, None] - 2 * inner + (book * book).sum(1)).reshape(len(x), -1)
         keep = min(beam, trial.shape[1])
         best = np.argpartition(trial, keep - 1, axis=1)[:, :keep]
-        codes = np.concatenate([codes[rows, best // words], (best % words)[:, :, None]], axis=2)
-        score = trial[rows, best]
-    return codes[np.arange(len(x)), np.argmin(score, axis=1)]
+        from_, word = best // len(book), best % len(book)
+        codes = np.concatenate([codes[rows, from_], word[:, :, None]], axis=2)
+        rest, error = rest[rows, from_] - book[word], trial[rows, best]
+    return codes[np.arange(len(x)), np.argmin(error, axis=1)]
+
+
+def _by_width(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each width among the vectors."""
+    widths = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        yield at, vectors.matrix(lists.take(pa.array(at)))
 
 
-def _encoded(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """(id, v, codes, factor) of (id, v)."""
-    levels, words, _ = books.shape
-    flat = books.reshape(-1, books.shape[2])
+def _encoded(rows: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
+    """(id, v, members, width, codes, factor) of (id, v, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            codes, factors = [], []
-            whole = vectors.matrix(b.column(1))
-            for lo in range(0, len(whole), 1024):
-                x = whole[lo : lo + 1024]
-                c = encode(x, books)
-                made = flat[c + np.arange(levels) * words].sum(1)
-                along = np.einsum("ij,ij->i", x, made)
-                factors.append(np.where(along > 0, (x * x).sum(1) / np.where(along > 0, along, 1), 1.0))
-                codes += [row.tobytes() for row in c.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(np.concatenate(factors))], names=["id", "v", "codes", "factor"])
-
-    return map_arrow(rows, run, "id long, v array<double>, codes binary, factor double")
-
-
-def _searched(blocks: DataFrame, books: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each block (members: array of id, query, v, codes, factor)."""
-    levels, words, width = books.shape
-    flat = books.reshape(-1, width)
-
-    def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, factor: np.ndarray) -> Iterator[tuple]:
-        order = np.argsort(ids, kind="stable")
-        ids, x, codes, factor = ids[order], x[order], codes[order], factor[order]
-        _, first, group = np.unique(x.view(f"V{x.dtype.itemsize * width}").ravel(), return_index=True, return_inverse=True)
-        by_group = np.argsort(group, kind="stable")
-        starts = np.r_[0, np.cumsum(np.bincount(group))]
-        table = (q @ flat.T).astype(np.float32)
-        scores = np.zeros((len(q), len(first)), dtype=np.float32)
-        for level in range(levels):
-            scores += table[:, codes[first, level].astype(np.int64) + level * words]
-        scores *= factor[first].astype(np.float32)
-        keep = min(max(RERANK, k + 1), scores.shape[1])
-        chosen = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-        for i in range(len(q)):
-            exact = np.einsum("ij,j->i", x[first[chosen[i]]], q[i])
-            members, values = [], []
-            for c in np.argsort(-exact, kind="stable")[: k + 1]:  # enough: each holds one row other than the query at least, but for one
-                g = chosen[i][c]
-                own = ids[by_group[starts[g] : starts[g + 1]]]
-                own = own[own != q_ids[i]][:k]
-                members.append(own)
-                values.append(np.full(len(own), exact[c]))
-            m, v = np.concatenate(members), np.concatenate(values)
-            top = np.lexsort((m, -v))[:k]
-            yield np.full(len(top), q_ids[i]), m[top], v[top]
+            width, codes, factor = np.zeros(len(b), dtype=np.int32), [b""] * len(b), np.ones(len(b))
+            for at, whole in _by_width(b.column(1)):
+                own = books[whole.shape[1]]
+                flat = own.reshape(-1, own.shape[2])
+                width[at] = whole.shape[1]
+                for lo in range(0, len(at), 1024):
+                    x, rows = whole[lo : lo + 1024], at[lo : lo + 1024]
+                    c = encode(x, own)
+                    made = flat[c + np.arange(own.shape[0]) * own.shape[1]].sum(1)
+                    along = np.einsum("ij,ij->i", x, made)
+                    factor[rows] = np.where(along > 0, (x * x).sum(1) / np.where(along > 0, along, 1), 1.0)
+                    for i, row in zip(rows.tolist(), c.astype(np.uint8), strict=True):
+                        codes[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(width), pa.array(codes, pa.binary()), pa.array(factor)], names=["id", "v", "members", "width", "codes", "factor"])
+
+    kind = dict(rows.dtypes)["v"]
+    return map_arrow(rows, run, f"id long, v {kind}, members array<long>, width int, codes binary, factor double")
+
+
+def _looked_up(blocks: DataFrame, books: dict[int, np.ndarray], keep: int) -> DataFrame:
+    """(query_id, id, guess): the ``keep`` best of each block (members: array of id, v, codes, factor; v: queries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column(0):
+            for width, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 members = members.values
-                query = members.field("query").to_numpy(zero_copy_only=False)
-                ids, x = members.field("id").to_numpy(), vectors.matrix(members.field("v"))
-                if query.all() or not query.any():
+                asks = members.field("codes").is_null().to_numpy(zero_copy_only=False)
+                if asks.all() or not asks.any():
                     continue
-                rest = members.filter(pa.array(~query))
-                codes = np.frombuffer(b"".join(rest.field("codes").to_pylist()), dtype=np.uint8).reshape(-1, levels)
-                found = list(best(ids[query], x[query], ids[~query], np.ascontiguousarray(x[~query]), codes, rest.field("factor").to_numpy()))
-                a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
+                rest = members.filter(pa.array(~asks))
+                own = books[width]
+                levels, words, _ = own.shape
+                codes = np.frombuffer(b"".join(rest.field("codes").to_pylist()), dtype=np.uint8).reshape(-1, levels).astype(np.int64)
+                ids, factor = rest.field("id").to_numpy(), rest.field("factor").to_numpy().astype(np.float32)
+                q_ids, q = members.filter(pa.array(asks)).field("id").to_numpy(), vectors.matrix(members.filter(pa.array(asks)).field("v"))
+                for lo in range(0, len(q_ids), 256):
+                    table = (q[lo : lo + 256] @ own.reshape(-1, width).T).astype(np.float32)
+                    scores = np.zeros((len(table), len(ids)), dtype=np.float32)
+                    for level in range(levels):
+                        scores += table[:, codes[:, level] + level * words]
+                    scores *= factor
+                    n = min(keep, len(ids))
+                    best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                    guess = np.take_along_axis(scores, best, axis=1).astype(np.float64)
+                    columns = (np.repeat(q_ids[lo : lo + 256], n), ids[best].ravel(), guess.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "guess"])
+
+    return map_arrow(blocks, run, "query_id long, id long, guess double")
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(query_id, members, score) of (query_id, members, x, q): exact inner products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = np.zeros(len(b))
+            for at, x in _by_width(b.column(2)):
+                score[at] = np.einsum("ij,ij->i", x, vectors.matrix(b.column(3).take(pa.array(at))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["query_id", "members", "score"])
 
-    return map_arrow(blocks, run, "query_id long, vec_id long, score double")
+    return map_arrow(pairs.select("query_id", "members", "x", "q"), run, "query_id long, members array<long>, score double")
 
 
-def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``table`` to each of its rows where ``queries`` (a
-    condition on its columns) holds, by inner product, without the query's own id."""
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("query"))
+    condition on its columns) holds, by inner product, without the query's own id; the ``rerank`` best by look-up are
+    scored exactly."""
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("query"))
     rows = rows.where(F.col("id").isNotNull() & vectors.usable("v"))
-    width = rows.agg(F.mode(F.size("v"))).first()[0]
-    rows = rows.where(F.size("v") == F.lit(width))
-    books = codebooks(vectors.sample(rows, "v")) if width else np.zeros((1, 1, 1))
-    coded = scratch.materialise(_encoded(rows.select("id", "v"), books), "codes")
-    asked = scratch.materialise(rows.where("query").select("id", "v"), "queries")
+    first = lambda *by: W.Window.partitionBy(*by)
+    rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v"))
+    few = rows.withColumn("turn", F.row_number().over(first("h1", "h2").orderBy("id"))).where(F.col("turn") <= k + 1)
+    classes = few.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.array_sort(F.collect_list("id")).alias("members"))
+    classes = scratch.materialise(classes.select("id", "v", "members"), "classes")
+    widths = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
+    books = {w: codebooks(vectors.sample(classes.where(F.size("v") == w), "v")) for w in widths}
+    coded = scratch.materialise(_encoded(classes, books), "codes")
+    asked = scratch.materialise(rows.where("query").select("id", "v", F.size("v").alias("width")), "queries")
     n, m = coded.count(), asked.count()
     cells, parts = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     dealt = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = coded.select(every(parts).alias("p"), dealt(cells).alias("c"), "id", F.lit(False).alias("query"), "v", "codes", "factor")
-    right = asked.select(dealt(parts).alias("p"), every(cells).alias("c"), "id", F.lit(True).alias("query"), "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("factor"))
-    blocks = left.union(right).groupBy("p", "c").agg(F.collect_list(F.struct("id", "query", "v", "codes", "factor")).alias("members"))
-    found = _searched(blocks.select("members"), books, k)
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = coded.select("width", every(parts).alias("p"), dealt(cells).alias("c"), "id", F.lit(None).cast(dict(rows.dtypes)["v"]).alias("v"), "codes", "factor")
+    right = asked.select("width", dealt(parts).alias("p"), every(cells).alias("c"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("factor"))
+    blocks = left.union(right).groupBy("width", "p", "c").agg(F.collect_list(F.struct("id", "v", "codes", "factor")).alias("members"))
+    keep = max(rerank, k + 1)
+    found = _looked_up(blocks.select("width", "members"), books, keep)
+    best = found.withColumn("turn", F.row_number().over(first("query_id").orderBy(F.col("guess").desc(), "id"))).where(F.col("turn") <= keep)
+    pairs = best.select("query_id", "id").join(coded.select("id", F.col("v").alias("x"), "members"), "id")
+    pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct(), "query_id")
+    pairs = pairs.where(F.size("x") == F.size("q"))  # rows that repeat an id may differ in width
+    exact = _scored(pairs).select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
+    rank = F.row_number().over(first("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
