@@ -1,6 +1,6 @@
 """Near-duplicate vectors with an inverted multi-index.
 
-Equal labels only, by cosine.  Vectors are scaled to length one, equal ones of a label become one class, and each half
+Equal labels only (of any type that can be grouped by), by cosine.  Vectors are scaled to length one, equal ones of a label become one class, and each half
 has its own codebook, so that a pair of codes is a cell of a product grid.  The number of codes follows the number of
 vectors, to keep cells of about ``CELL`` vectors.  From each vector a multi-sequence traversal visits cells, nearest
 first by a lower bound on their distance (how far the bisecting plane between the own and the other centre is, in each
@@ -26,17 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowed import map_arrow
 from . import scratch, vectors
 from .components import components
 
-CELL, MOST_CODES, SPREADS, BLOCK = 64, 256, 2.5, 1024
+CELL, SPREADS, BLOCK = 64, 2.5, 1024
+#: Distinct vectors that codebooks are fitted on: so many for each code, ``vectors.SAMPLE`` at least. Codes grow with the
+#: square root of the largest label.
+PER_CODE = 16
 
 
 def planes(centres: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's own code and, for every code, the distance to the plane between its own centre and that code's."""
-    d = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
+    d = (centres**2).sum(1)[None, :] - 2 * np.einsum("ij,kj->ik", x, centres)  # to the bit alike in every batch
     own = np.argmin(d, axis=1)
     between = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2), 1e-12))
     return own, np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * between[own])
@@ -78,7 +82,8 @@ def _cells(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], reach: floa
                     visits[row] = [c for i, j in traverse(far1[n], far2[n], reach) if (c := i * side + j) != homes[row]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(homes, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], names=["label", "id", "home", "visits"])
 
-    return map_arrow(classes.select("label", "id", "v"), run, "label long, id long, home long, visits array<long>")
+    fields = [("label", classes.schema["label"].dataType), ("id", T.LongType()), ("home", T.LongType()), ("visits", T.ArrayType(T.LongType()))]
+    return map_arrow(classes.select("label", "id", "v"), run, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,10 +104,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n) of (cell, members: array of id, side, members, home, visits, v).  With b: a link, of a forest of the
-    block's.  Without: ``n`` more rows that ``a`` is linked with.  A visitor counts what it finds at home in the cell;
-    one at home counts a visitor itself only if it does not visit the other's cell in its turn."""
+def _verified(blocks: DataFrame, threshold: float, books: tuple[np.ndarray, np.ndarray], reach: float) -> DataFrame:
+    """(a, b, n) of (cell, members: array of id, side, members, home, v).  With b: a link, of a forest of the block's.
+    Without: ``n`` more rows that ``a`` is linked with.  A visitor counts what it finds at home in the cell; one at home
+    counts a visitor itself only if it does not visit the other's cell in its turn."""
+    half, side = books[0].shape[1], len(books[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,19 +117,24 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
                 members = members.values
                 at_home = members.field("side").to_numpy(zero_copy_only=False)
                 ids, many = members.field("id").to_numpy(), members.field("members").to_numpy()
-                homes, visits = members.field("home").to_numpy(), members.field("visits")
+                homes = members.field("home").to_numpy()
                 x = vectors.matrix(members.field("v"))
                 h, g = np.flatnonzero(at_home), np.flatnonzero(~at_home)
-                goes = {int(i): {cell, *visits[int(i)].as_py()} for i in h}
+                if cell >= 0:  # how far those at home are from every plane
+                    far1, far2 = (planes(c, part)[1] for c, part in zip(books, (x[h, :half], x[h, half:]), strict=True))
                 for lo in range(0, len(g), BLOCK):
                     i, j = np.nonzero(x[g[lo : lo + BLOCK]] @ x[h].T >= threshold - 1e-9)
-                    i, j = g[lo + i], h[j]
+                    i, local = g[lo + i], j
+                    j = h[local]
                     good = (np.einsum("ij,ij->i", x[i], x[j]) >= threshold) & (ids[i] != ids[j])
-                    i, j = i[good], j[good]
+                    i, j, local = i[good], j[good], local[good]
                     keep = _forest(ids[i], ids[j])
                     links.append(np.stack([ids[i[keep]], ids[j[keep]]]))
                     counts.append(np.stack([ids[i], many[j]]))
-                    alone = np.array([homes[p] not in goes[q] for p, q in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                    alone = homes[i] != cell
+                    if cell >= 0 and len(i):
+                        one, two = np.divmod(homes[i], side)
+                        alone &= far1[local, one] ** 2 + far2[local, two] ** 2 > reach * reach
                     counts.append(np.stack([ids[j[alone]], many[i[alone]]]))
             none = np.empty((2, 0), dtype=np.int64)
             a, b = np.concatenate(links or [none], axis=1)
@@ -138,19 +149,20 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for each row: links by cosine >= threshold within a label."""
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).cast("long").alias("label"))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", vectors.usable("x") & F.col("label").isNotNull() & F.col("id").isNotNull())
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     scaled = F.when(F.col("ok"), F.transform("x", lambda v: v / norm))
     rows = scratch.materialise(rows.select("id", "label", "ok", scaled.alias("v"), F.xxhash64("x").alias("h1"), F.hash("x").alias("h2")), "vectors")
     classes = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count(F.lit(1)).alias("members"))
     classes = scratch.materialise(classes, "classes")
-    trained = vectors.sample(classes.where(F.size("v") == F.lit(classes.agg(F.mode(F.size("v"))).first()[0])), "v")
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    codes = max(1, round((n / CELL) ** 0.5))
+    width = classes.agg(F.mode(F.size("v"))).first()[0]
+    trained = vectors.sample(classes.where(F.size("v") == F.lit(width)), "v", max(vectors.SAMPLE, PER_CODE * codes))
     found = classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").alias("n")).limit(0)
     if len(trained):
         half = max(1, trained.shape[1] // 2) if trained.shape[1] > 1 else 1
-        codes = int(min(MOST_CODES, max(1, round((n / CELL) ** 0.5))))
         books = (vectors.kmeans(trained[:, :half], codes), vectors.kmeans(trained[:, half:], codes) if trained.shape[1] > half else np.zeros((1, 0)))
         reach = min(1.0, SPREADS / trained.shape[1] ** 0.5) * (2 - 2 * threshold) ** 0.5
         cells = scratch.materialise(_cells(classes, books, reach), "cells")
@@ -164,11 +176,11 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
         # each home block meets each block of all that visit (those at home too)
         at_home = placed.where("home").select("label", "cell", "id", F.lit(True).alias("home"), mine("hb").alias("p"), F.explode(every("vb")).alias("q"))
         passing = placed.select("label", "cell", "id", F.lit(False).alias("home"), mine("vb").alias("q"), F.explode(every("hb")).alias("p")).select("label", "cell", "id", "home", "p", "q")
-        known = cells.select("label", "id", F.col("home").alias("own"), "visits").join(classes.select("id", "label", "members", "v"), ["label", "id"])
+        known = cells.select("label", "id", F.col("home").alias("own")).join(classes.select("id", "label", "members", "v"), ["label", "id"])
         members = at_home.union(passing).join(scratch.materialise(known, "known"), ["label", "id"])
-        item = F.struct("id", F.col("home").alias("side"), "members", F.col("own").alias("home"), "visits", "v")
+        item = F.struct("id", F.col("home").alias("side"), "members", F.col("own").alias("home"), "v")
         blocks = members.groupBy("label", "cell", "p", "q").agg(F.collect_list(item).alias("members")).select("cell", "members")
-        found = scratch.materialise(_verified(blocks, threshold), "links")
+        found = scratch.materialise(_verified(blocks, threshold, books, reach), "links")
     links = found.where("b is not null").select("a", "b").distinct()
     degree = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     named = classes.join(components(links), "id", "left").join(scratch.materialise(degree, "degree"), "id", "left")

@@ -60,6 +60,20 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_a_grid_of_many_cells(spark, monkeypatch):
+    """Codebooks of ten codes a half, text labels: most cells are not visited, and nearly every link is found."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 8)
+    rng = np.random.default_rng(4)
+    bases = rng.normal(size=(250, 32))
+    x = (bases[np.arange(800) % 250] + rng.normal(size=(800, 32)) * rng.choice((0.05, 0.15, 0.25), size=(800, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i].tolist(), "one") for i in range(800)], "vec_id long, embedding array<float>, label string")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, 0.93).collect()}
+    assert all(got[i] <= near[i].sum() for i in range(800)) and sum(got.values()) >= 0.98 * near.sum() > 500
+
+
 def test_traversal_is_in_order():
     left, right = np.array([0.3, 0.0, 0.7]), np.array([0.1, 0.0, 0.2, 0.9])
     cells = list(embedding_dedup.traverse(left, right, 0.75))
@@ -73,22 +87,23 @@ def test_search(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
     rows, df = table(spark)
     got: dict = {}
-    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+    for r in ann.search(df, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") == 686), 20, rerank=100).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = [r for r in rows if usable(r[1]) and len(r[1]) == 16]
+    good = [r for r in rows if usable(r[1])]
     hits = total = 0
     for q in good:
-        if q[0] % 20 == 0:
+        if q[0] % 20 == 0 or q[0] == 686:
             x = np.array(q[1])
-            every = sorted(((-float(np.array(c[1]) @ x), c[0]) for c in good if c[0] != q[0]))[:20]
+            like = [c for c in good if len(c[1]) == len(x)]  # each width is searched apart
+            every = sorted(((-float(np.array(c[1]) @ x), c[0]) for c in like if c[0] != q[0]))[:20]
             mine = sorted(got[q[0]])
-            assert [m[0] for m in mine] == list(range(1, 21))
-            scores = {c[0]: float(np.array(c[1]) @ x) for c in good}
+            assert [m[0] for m in mine] == list(range(1, len(every) + 1))
+            scores = {c[0]: float(np.array(c[1]) @ x) for c in like}
             assert all(abs(scores[v] - s) < 1e-12 for _, v, s in mine)
             assert [(-s, v) for _, v, s in mine] == sorted((-s, v) for _, v, s in mine)
             hits += len({v for _, v in every} & {v for _, v, _ in mine})
-            total += 20
-    assert total and set(got) == {r[0] for r in good if r[0] % 20 == 0} and hits >= 0.95 * total
+            total += len(every)
+    assert total and set(got) == {r[0] for r in good if r[0] % 20 == 0 or r[0] == 686} and hits >= 0.95 * total
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.5, 1.0], 1)], SCHEMA)
     assert [(r["rank"], r.vec_id) for r in ann.search(few, F.col("vec_id") == 0, 20).orderBy("rank").collect()] == [(1, 1), (2, 2)]
