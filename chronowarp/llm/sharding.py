@@ -1,7 +1,8 @@
 """Two-pass external shuffle into shards.
 
 Pass one scatters records uniformly into memory-sized buckets by a seeded hash of their place in the input, so
-neither a hot key nor a group of copies makes a bucket large.  Pass two loads one bucket at a time, shuffles it by
+neither a hot key nor a group of copies makes a bucket large.  A place must be the same when a lost task runs again:
+input that is not read from files in one step is written first.  Pass two loads one bucket at a time, shuffles it by
 Fisher-Yates and writes it.  A record's global position is its bucket's offset plus its place in the bucket; shards
 take positions in turn, which keeps their row counts at most one apart and their slots gapless.
 
@@ -26,6 +27,8 @@ BUCKET_BYTES = 32 << 20
 #: At least so many buckets, so that small inputs are spread too.
 LEAST_BUCKETS = 64
 OUTPUTS = ("shard", "slot")
+#: Offsets of up to so many buckets (64 MB) are sent to every executor; more are joined by a shuffle.
+BROADCAST_BUCKETS, GROUP = 1 << 22, 4096
 _BUCKET, _PLACE = "__bucket", "__place"
 
 
@@ -41,9 +44,20 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(listed, dtype=np.int64)
 
 
+def _steady(docs: DataFrame) -> bool:
+    """Whether the rows come from files in one step, so that their places do not change when a task runs again."""
+
+    def names(node) -> list[str]:
+        children = node.children()
+        return [node.nodeName(), *(n for i in range(children.size()) for n in names(children.apply(i)))]
+
+    return all(n.startswith(("Scan ", "FileScan", "Project", "Filter", "ColumnarToRow")) and "ExistingRDD" not in n for n in names(docs._jdf.queryExecution().sparkPlan()))
+
+
 def shuffled(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
     """Scatter and shuffle: the rows of ``docs`` with ``__bucket`` and ``__place``, written once in shuffled order."""
     docs = docs.drop(_BUCKET, _PLACE)
+    docs = docs if _steady(docs) else scratch.materialise(docs, "to-shuffle")
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64)).first()[0] or 1
     buckets = max(LEAST_BUCKETS, math.ceil(size / bucket_bytes))
     dealt = docs.withColumn(_BUCKET, F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
@@ -59,12 +73,18 @@ def shuffled(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES,
 def shard(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in uniformly random order, dealt to ``shards`` shards: plus ``shard`` and ``slot``."""
     rows = shuffled(docs.drop(*OUTPUTS), seed, bucket_bytes, text_col)
-    counts = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))  # one row a bucket: input size / bucket_bytes
-    before = F.sum("__n").over(W.Window.orderBy(_BUCKET)) - F.col("__n")
-    offsets = counts.select(_BUCKET, before.alias("__before"))
+    # buckets are counted one row each (input size / bucket_bytes), their groups one row for each GROUP buckets
+    counts = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.floor(F.col(_BUCKET) / GROUP))
+    counts = scratch.materialise(counts, "bucket-counts")
+    groups = counts.groupBy("group").agg(F.sum("n").alias("all"))
+    groups = groups.select("group", (F.sum("all").over(W.Window.orderBy("group")) - F.col("all")).alias("earlier"))
+    within = F.sum("n").over(W.Window.partitionBy("group").orderBy(_BUCKET)) - F.col("n")
+    offsets = counts.select(_BUCKET, "group", within.alias("within")).join(F.broadcast(groups), "group")
+    offsets = offsets.select(_BUCKET, (F.col("within") + F.col("earlier")).alias("__before"))
+    small = counts.count() <= BROADCAST_BUCKETS
     at = F.col("__before") + F.col(_PLACE)
     return (
-        rows.join(offsets, _BUCKET)
+        rows.join(F.broadcast(offsets) if small else offsets, _BUCKET)
         .withColumn("shard", F.pmod(at, F.lit(shards)).cast("int"))
         .withColumn("slot", F.floor(at / shards).cast("long"))
         .drop(_BUCKET, _PLACE, "__before")

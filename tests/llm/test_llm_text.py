@@ -504,6 +504,17 @@ def test_sharding(spark):
     assert sorted(sharding.fisher_yates(100, 1)) == list(range(100))
 
 
+def test_shuffle_is_uniform_and_steady(spark, tmp_path):
+    counts: dict = {}
+    for seed in range(9600):  # 24 orders, 400 each expected; 49.7: one in a thousand
+        order = tuple(sharding.fisher_yates(4, seed).tolist())
+        counts[order] = counts.get(order, 0) + 1
+    assert len(counts) == 24 and sum((n - 400) ** 2 / 400 for n in counts.values()) < 49.7
+    spark.range(10).write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    assert sharding._steady(files.where("id > 2").select("id")) and not sharding._steady(files.repartition(3)) and not sharding._steady(files.groupBy("id").count())
+
+
 def test_query_digests(spark, tmp_path):
     from chronowarp.llm import queries
 
