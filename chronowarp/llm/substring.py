@@ -47,7 +47,7 @@ LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10
 BROADCAST_ROWS = 500_000
 #: Seeds are matched in so many parts (a power of two) by their hash, one after the other, so that the disk holds the
 #: shuffles of one.
-PARTS = 4
+PARTS = 8
 
 
 def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
@@ -482,23 +482,28 @@ def joined(copies: list[tuple[int, int, int]], least: int = LEAST_WORDS, similar
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, other_id): every passage, in code points, that repeats one of ``other_id``."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
+    spark = docs.sparkSession
     seeded = scratch.materialise(_seeded(docs), "seeds")
+    seeds_at = scratch.paths(spark)[-1]
     groups = seeded.where(f"n >= {K}").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
     groups = scratch.materialise(groups.where("members > 1").drop("members"), "equal-words")
     whole = seeded.where(f"n >= {K}").select("id", "n", "d1", "d2").join(_small(groups), ["n", "d1", "d2"]).where("id <> rep").select("id", "n", "rep")
     whole = scratch.materialise(whole.distinct(), "whole-copies")
 
     searched = seeded.join(_small(whole.select("id")), "id", "left_anti")
-    held = scratch.paths(docs.sparkSession)
+    held = scratch.paths(spark)
     near = scratch.materialise(_near(docs, _postings(searched, "runs", "run_places")), "near-runs")
     runs = _settled(_equal_runs(_by_document(_led(near, "run-leaders"))), "equal-runs", held)
     matches = []
     for part in range(PARTS):
-        held = scratch.paths(docs.sparkSession)
+        held = scratch.paths(spark)
         matches.append(_settled(_led(_postings(searched, f"seeds{part}", f"places{part}"), "leaders"), "matches", held))
-    chained = scratch.materialise(_chained(_by_document(reduce(DataFrame.unionAll, matches))), "chains")
+    scratch.drop(spark, seeds_at)  # before texts are shuffled
+    held = scratch.paths(spark)
+    chained = _settled(_chained(_by_document(reduce(DataFrame.unionAll, matches))), "chains", held[: -len(matches)])
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
-    segments = scratch.materialise(_segments(docs, ranges.distinct()), "segments")
+    held = scratch.paths(spark)
+    segments = _settled(_segments(docs, ranges.distinct()), "segments", held)
     copies = _copies(chained, segments).union(runs).union(whole.where(f"n >= {LEAST_WORDS}").select("id", F.lit(0).alias("start"), F.col("n").alias("stop"), F.col("rep").alias("lid")))
     copies = copies.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "lid")).alias("copies"))
     copies = scratch.materialise(copies, "copies")

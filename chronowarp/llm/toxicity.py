@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowed import map_arrow
+from .arrowed import give_back, map_arrow
 from . import fitting, textops
 
 #: A kept feature stands in so many documents at least, with such log odds; ``CLEAR`` is added to what the number of
@@ -233,22 +233,27 @@ def _squashed(x: np.ndarray) -> np.ndarray:
 
 
 def _presence(texts: pa.Array) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind: distinct feature hashes, and for every text and feature in it the feature's index and the text."""
-    found: dict[str, list[np.ndarray]] = {k: [] for k in KINDS}
-    owner: dict[str, list[np.ndarray]] = {k: [] for k in KINDS}
-    for words in textops.chunks(texts):
-        spans = words.stems()
-        word = words.spans_hashed(*spans)
-        for kind in KINDS:
-            h = _hashed(words, kind, spans, word)
-            for row, a, b in zip(words.rows, words.first[:-1], words.first[1:], strict=True):
-                u = np.unique(h[a:b])
-                found[kind].append(u[u != 0])
-                owner[kind].append(np.full(len(found[kind][-1]), row))
+    """For each kind the feature hashes found in ``LEAST_DOCS`` texts or more, and for every text and such a feature in
+    it the feature's index and the text. One kind at a time: the driver holds little of what is rare."""
     out = {}
     for kind in KINDS:
-        known, code = np.unique(np.concatenate(found[kind] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        out[kind] = (known, code, np.concatenate(owner[kind] or [np.zeros(0, np.int64)]))
+        found, owner = [], []
+        for words in textops.chunks(texts):
+            spans = words.stems()
+            h = _hashed(words, kind, spans, words.spans_hashed(*spans) if kind in ("word", "before", "after") else np.zeros(0, np.uint64))
+            for row, a, b in zip(words.rows, words.first[:-1], words.first[1:], strict=True):
+                u = np.unique(h[a:b])
+                found.append(u[u != 0])
+                owner.append(np.full(len(found[-1]), row, dtype=np.int32))
+        h, who = np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, np.int32)])
+        del found, owner
+        by = np.argsort(h, kind="stable")
+        h, who = h[by], who[by]
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(1, dtype=np.int64)
+        count = np.diff(edge)
+        often = count >= LEAST_DOCS
+        keep = np.repeat(often, count)
+        out[kind] = (h[edge[:-1][often]], np.repeat(np.arange(int(often.sum())), count[often]), who[keep])
     return out
 
 
@@ -257,7 +262,7 @@ def _kept(presence: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.
     ones, zeros = (use & (y == 1)).sum(), (use & (y == 0)).sum()
     q = ones / max(ones + zeros, 1)
     counts = {k: (np.bincount(code[(use & (y == 1))[who]], minlength=len(known)), np.bincount(code[(use & (y == 0))[who]], minlength=len(known))) for k, (known, code, who) in presence.items()}
-    tried = sum(int((a + b >= LEAST_DOCS).sum()) for a, b in counts.values())
+    tried = sum(int((a + b >= LEAST_DOCS).sum()) for a, b in counts.values())  # rarer ones cannot be kept
     features, odds = {}, []
     for kind, (a, b) in counts.items():
         n = a + b
@@ -348,6 +353,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return model
     model.score = fitting.logistic(_squashed(x), y)
     model.score[-1] += fitting.prior_shift(y, share)
+    del presence, texts
+    give_back()
     return model
 
 
