@@ -15,6 +15,9 @@ from ..constants import BAND_GUARD
 from .columns import Number, abandon, bind, broken, series, total, window_or_all
 from .costs import Cost, cost
 
+#: Places whose running numbers are worked out together.
+_CHUNK = 32
+
 
 def _outside(q: Column, upper: Column, lower: Column, point: Cost) -> Column:
     return F.when(q > upper, point(q, upper)).when(q < lower, point(q, lower)).otherwise(0.0)
@@ -126,31 +129,43 @@ def lb_webb(
     def body(a: Column, au: Column, al: Column, alu: Column, aul: Column, b: Column, bu: Column, bl: Column, blu: Column, bul: Column) -> Column:
         n = F.size(a)
         w = window_or_all(window, n, n)
-        one = F.lit(1)
+        places = F.sequence(F.lit(0), n - 1)
+
+        def since(counted, broken) -> Column:
+            """Running numbers of ``counted`` places since the last ``broken`` one, from w. Sums over chunks come first,
+            then those within: an accumulator is copied at every step, and so is kept short."""
+            chunk = lambda c: F.sequence(c * _CHUNK, F.least(c * _CHUNK + _CHUNK, n) - 1)
+            after = lambda state, i: F.when(broken(i), 0).otherwise(state + F.when(counted(i), 1).otherwise(0))
+            chunks = F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int"))
+
+            def ends(starts: Column, c: Column) -> Column:
+                return F.concat(starts, F.array(F.aggregate(chunk(c), F.element_at(starts, -1), after)))
+
+            def given(starts: Column) -> Column:
+                grown = lambda c: F.slice(F.aggregate(chunk(c), F.array(F.get(starts, c)), lambda runs, i: F.concat(runs, F.array(after(F.element_at(runs, -1), i)))), 2, _CHUNK)
+                return F.flatten(F.transform(chunks, grown))
 
-        def runs(state: Column, i: Column) -> Column:
-            x, up, low = F.get(a, i), F.get(bu, i), F.get(bl, i)
-            over, under = x > up, x < low
-            above = F.when(over, state["above"]).when(under, F.when(low <= F.get(alu, i), state["above"] + one).otherwise(0)).otherwise(state["above"] + one)
-            below = F.when(over, F.when(up >= F.get(aul, i), state["below"] + one).otherwise(0)).when(under, state["below"]).otherwise(state["below"] + one)
-            kept = F.concat(state["runs"], F.array(F.struct(above.alias("above"), below.alias("below"))))
-            return F.struct(above.alias("above"), below.alias("below"), kept.alias("runs"))
+            return bind({"starts": F.aggregate(chunks, F.array(w), ends)}, given)
 
-        start = F.struct(w.alias("above"), w.alias("below"), F.array().cast("array<struct<above:int,below:int>>").alias("runs"))
-        free = F.aggregate(F.sequence(F.lit(0), n - 1), start, runs, lambda s: s["runs"])
+        over, under = (lambda i: F.get(a, i) > F.get(bu, i)), (lambda i: F.get(a, i) < F.get(bl, i))
+        low_fits, high_fits = (lambda i: F.get(bl, i) <= F.get(alu, i)), (lambda i: F.get(bu, i) >= F.get(aul, i))
+        free = F.struct(
+            since(lambda i: ~over(i), lambda i: ~over(i) & under(i) & ~low_fits(i)).alias("above"),
+            since(lambda i: over(i) | ~under(i), lambda i: over(i) & ~high_fits(i)).alias("below"),
+        )
 
         def reverse(runs: Column) -> Column:
             def extra(j: Column) -> Column:
                 y, up, low = F.get(b, j), F.get(au, j), F.get(al, j)
-                seen = F.get(runs, F.least(j + w, n - 1))  # when the window around j has been passed
+                seen = lambda side: F.get(runs[side], F.least(j + w, n - 1))  # when the window around j has been passed
                 late = j + w > n - 1
-                is_free = lambda side: F.when(late, j >= n - seen[side] + w).otherwise(seen[side] > 2 * w)
+                is_free = lambda side: F.when(late, j >= n - seen(side) + w).otherwise(seen(side) > 2 * w)
                 inner_low, inner_up = F.get(bul, j), F.get(blu, j)
                 over = F.when(is_free("above"), point(y, up)).when((y > inner_low) & (inner_low >= up), point(y, up) - point(inner_low, up)).otherwise(0.0)
                 under = F.when(is_free("below"), point(y, low)).when((y < inner_up) & (inner_up <= low), point(y, low) - point(inner_up, low)).otherwise(0.0)
                 return F.when(y > up, over).when(y < low, under).otherwise(0.0)
 
-            return total(F.transform(F.sequence(F.lit(0), n - 1), extra))
+            return total(F.transform(places, extra))
 
         return _keogh(a, bu, bl, point) + bind({"runs": free}, reverse)
 

@@ -35,10 +35,6 @@ def _guarded(a: Column | str, b: Column | str, body: Callable[..., Column], wind
     return abandon(bind({"a": series(a), "b": series(b), **more}, whole), cutoff)
 
 
-def _band(w: Column) -> Callable[[Column, Column], Column]:
-    return lambda i, j: F.abs(i - j) <= w
-
-
 def directa(a: Column | str, b: Column | str, exponent: Number | Cost = 2, cutoff: Number | None = None) -> Column:
     """Sum of the costs of values at one place; infinite for different lengths."""
     point = cost(exponent)
@@ -50,7 +46,7 @@ def dtw(a: Column | str, b: Column | str, exponent: Number | Cost = 2, window=No
     point = cost(exponent)
 
     def body(a: Column, b: Column, w: Column) -> Column:
-        return wavefront(a, b, lambda c: point(c.a, c.b), lambda c: F.least(c.left, c.top, c.diagonal) + point(c.a, c.b), None if window is None else _band(w))
+        return wavefront(a, b, lambda c: point(c.a, c.b), lambda c: F.least(c.left, c.top, c.diagonal) + point(c.a, c.b), None if window is None else w)
 
     return _guarded(a, b, body, window, cutoff)
 
@@ -73,7 +69,7 @@ def dtw_path(a: Column | str, b: Column | str, exponent: Number | Cost = 2, wind
         def step(c: Cell) -> Column:
             return bind({"q": c.diagonal, "left": c.left, "top": c.top, "here": point(c.a, c.b), "apart": F.abs(c.i - c.j)}, chosen)
 
-        return wavefront(a, b, lambda c: F.struct(point(c.a, c.b).alias("d"), F.lit(0).alias("w")), step, _band(w), state="struct<d:double,w:int>")
+        return wavefront(a, b, lambda c: F.struct(point(c.a, c.b).alias("d"), F.lit(0).alias("w")), step, w, state="struct<d:double,w:int>")
 
     def whole(a: Column, b: Column) -> Column:
         n, m = F.size(a), F.size(b)
@@ -122,13 +118,10 @@ def erp(a: Column | str, b: Column | str, gap_value: Number = 0.0, exponent: Num
     point, g = cost(exponent), lit(gap_value)
 
     def body(a: Column, b: Column, w: Column) -> Column:
-        def inside(i: Column, j: Column) -> Column:
-            return (F.abs(i - j) <= w) | (((i == 0) | (j == 0)) & (i + j <= w + 1))
-
         def step(c: Cell) -> Column:
             return F.least(c.left + point(c.b, g), c.diagonal + point(c.a, c.b), c.top + point(c.a, g))
 
-        return wavefront(a, b, lambda c: F.lit(0.0), step, inside, border=1)
+        return wavefront(a, b, lambda c: F.lit(0.0), step, None if window is None else w, border=1)
 
     return _guarded(a, b, body, window, cutoff)
 
@@ -143,7 +136,7 @@ def lcss(a: Column | str, b: Column | str, epsilon: Number, window=None, cutoff:
         def step(c: Cell) -> Column:
             return F.when(similar(c.a, c.b, epsilon), F.coalesce(c.diagonal, zero) + 1).otherwise(F.coalesce(F.greatest(c.left, c.top, c.diagonal), zero))
 
-        found = wavefront(a, b, lambda c: F.when(similar(c.a, c.b, epsilon), 1).otherwise(0), step, None if window is None else _band(w), state="int")
+        found = wavefront(a, b, lambda c: F.when(similar(c.a, c.b, epsilon), 1).otherwise(0), step, None if window is None else w, state="int")
         return 1.0 - F.coalesce(found, zero) / F.least(F.size(a), F.size(b))
 
     return _guarded(a, b, body, window, cutoff)

@@ -9,33 +9,28 @@ from pyspark.sql import window as W
 from .columns import bind, check_window, series
 
 
-_MOST_UNROLLED = 512
-
-
 def _slide(s: Column, w: int | Column, pick) -> Column:
     """``pick`` of s over i - w to i + w, by doubling: slices of growing width are combined, so that the work grows
     with the logarithm of the window and not with the window. Nothing for an empty series."""
     n = F.size(s)
-    if isinstance(w, Column) or w > _MOST_UNROLLED:  # its width is not known when the plan is made, or too large for it
-        wide = w.cast("int") if isinstance(w, Column) else F.lit(min(w, 2**31 - 1))
-        reach = F.least(wide, F.greatest(n - 1, F.lit(0)))
-        at = lambda i: F.slice(s, F.greatest(i - reach, F.lit(0)) + 1, F.least(i + reach, n - 1) - F.greatest(i - reach, F.lit(0)) + 1)
-        best = F.array_max if pick is F.greatest else F.array_min
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: best(at(i)))).otherwise(s)
-
-    def shifted(x: Column, by: int) -> Column:
-        """x moved ``by`` places to the left, with nulls behind."""
-        return F.slice(F.concat(x, F.array_repeat(F.lit(None).cast("double"), by)), by + 1, F.size(x))
-
-    def grow(x: Column, width: int, have: int = 1) -> Column:
-        if have >= width:
-            return x
-        by = min(have, width - have)
-        return grow(bind({"x": x}, lambda x: F.zip_with(x, shifted(x, by), lambda p, q: pick(p, q))), width, have + by)
-
-    # forward windows of 2w + 1 on the series with w nulls in front are centred ones on the series
-    padded = F.concat(F.array_repeat(F.lit(None).cast("double"), w), s)
-    return F.when(n > 0, F.slice(grow(padded, 2 * w + 1), 1, n)).otherwise(s)
+    wide = w.cast("int") if isinstance(w, Column) else F.lit(min(w, 2**31 - 1))
+
+    def whole(reach: Column) -> Column:
+        nulls = lambda count: F.array_repeat(F.lit(None).cast("double"), count)
+        width = 2 * reach + 1
+
+        def grow(state: Column, _: Column) -> Column:
+            by = F.least(state["have"], width - state["have"])
+            x = state["x"]
+            moved = F.slice(F.concat(x, nulls(by)), by + 1, F.size(x))  # ``by`` places to the left, nulls behind
+            return F.struct(F.zip_with(x, moved, lambda p, q: pick(p, q)).alias("x"), (state["have"] + by).alias("have"))
+
+        # forward windows of 2w + 1 on the series with w nulls in front are centred ones on the series
+        start = F.struct(F.concat(nulls(reach), s).alias("x"), F.lit(1).alias("have"))
+        rounds = F.when(width > 1, F.sequence(F.lit(1), F.ceil(F.log2(width.cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rounds, start, grow, lambda state: F.slice(state["x"], 1, n))
+
+    return F.when(n > 0, bind({"reach": F.least(wide, F.greatest(n - 1, F.lit(0)))}, whole)).otherwise(s)
 
 
 def upper_envelope(s: Column | str, w: int | Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import window as W
 from ..functions import arrow
 from ..functions.arrow import Distance
 
-QUERY_BLOCK, BLOCK, BATCH = 64, 512, 128
+QUERY_BLOCK, BLOCK, BATCH, FIRST = 64, 512, 128, 16
 #: Slack for bounds, which add in another order than distances.
 SLACK = 1 + 1e-9
 
@@ -48,11 +48,13 @@ def _nearest(distance: Distance, q: np.ndarray, own: int, groups: list[tuple[np.
     ids, found = np.empty(0, dtype=np.int64), np.empty(0)
     for group_ids, x in groups:
         bound = _bound(distance, q, x)
-        order = np.argsort(bound, kind="stable") if bound is not None else np.arange(len(x))
+        # without a bound the likely near ones first, so that the best so far is soon low
+        key = bound if bound is not None else np.abs(x - q).sum(axis=1) if len(q) == x.shape[1] else np.zeros(len(x))
+        order = np.argsort(key, kind="stable")
         if not keep_self:
             order = order[group_ids[order] != own]
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
+        for at, to in zip([0, *range(FIRST, len(order), BATCH)], [*range(FIRST, len(order), BATCH), len(order)], strict=True):
+            some = order[at:to]
             limit = min(radius, found[k - 1] if len(found) >= k else np.inf)
             if bound is not None and np.isfinite(limit):
                 some = some[bound[some] <= limit * SLACK + 1e-12]
@@ -67,10 +69,8 @@ def _nearest(distance: Distance, q: np.ndarray, own: int, groups: list[tuple[np.
     return ids, found
 
 
-def knn(queries: DataFrame, candidates: DataFrame, distance: Distance, k: int = 1, radius: float = float("inf"), keep_self: bool = False, sides: tuple[int, int] | None = None) -> DataFrame:
-    """(query_id, rank, candidate_id, distance): the ``k`` nearest candidates within ``radius`` of each query, itself
-    left out by id. Null series neither ask nor answer; NaN and infinite distances are no neighbours. ``sides``: row
-    counts of both sides, if known."""
+def _block_best(queries: DataFrame, candidates: DataFrame, distance: Distance, k: int, radius: float, keep_self: bool, sides: tuple[int, int] | None) -> DataFrame:
+    """(query_id, candidate_id, distance): the k best within ``radius`` of each block."""
     limit = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,14 @@ def knn(queries: DataFrame, candidates: DataFrame, distance: Distance, k: int =
             types = (pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "candidate_id", "distance"])
 
-    found = _blocks(queries, candidates, sides).mapInArrow(run, "query_id long, candidate_id long, distance double")
+    return _blocks(queries, candidates, sides).mapInArrow(run, "query_id long, candidate_id long, distance double")
+
+
+def knn(queries: DataFrame, candidates: DataFrame, distance: Distance, k: int = 1, radius: float = float("inf"), keep_self: bool = False, sides: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, rank, candidate_id, distance): the ``k`` nearest candidates within ``radius`` of each query, itself
+    left out by id. Null series neither ask nor answer; NaN and infinite distances are no neighbours. ``sides``: row
+    counts of both sides, if known."""
+    found = _block_best(queries, candidates, distance, k, radius, keep_self, sides)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "candidate_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "distance")
 
@@ -102,7 +109,7 @@ def nn1(queries: DataFrame, candidates: DataFrame, distance: Distance) -> DataFr
 
 def similarity_join(queries: DataFrame, candidates: DataFrame, distance: Distance, radius: float, sides: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, candidate_id, distance) for all pairs within ``radius``."""
-    return knn(queries, candidates, distance, 2**31 - 1, radius, sides=sides).drop("rank")
+    return _block_best(queries, candidates, distance, 2**31 - 1, radius, False, sides)
 
 
 def has_neighbour(queries: DataFrame, candidates: DataFrame, distance: Distance, radius: float) -> DataFrame:

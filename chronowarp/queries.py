@@ -73,6 +73,14 @@ DISTANCES: dict[str, tuple[Distance, dict, int | None]] = {
     "dtw_e1": (Distance("dtw", {"exponent": 1}), {"name": "dtw", "e": 1}, None),
     "dtw_e15": (Distance("dtw", {"exponent": 1.5}), {"name": "dtw", "e": 1.5}, 9),
     "adtw": (Distance("adtw", {"penalty": 0.025}), {"name": "adtw", "penalty": 0.025}, None),
+    "adtw_e1": (Distance("adtw", {"penalty": 0.025, "exponent": 1}), {"name": "adtw", "penalty": 0.025, "e": 1}, None),
+    "adtw_e15": (Distance("adtw", {"penalty": 0.025, "exponent": 1.5}), {"name": "adtw", "penalty": 0.025, "e": 1.5}, 9),
+    "wdtw_e1": (Distance("wdtw", {"weights": _wdtw_weights(LENGTH), "exponent": 1}), {"name": "wdtw", "g": G, "length": LENGTH, "e": 1}, 9),
+    "wdtw_e15": (Distance("wdtw", {"weights": _wdtw_weights(LENGTH), "exponent": 1.5}), {"name": "wdtw", "g": G, "length": LENGTH, "e": 1.5}, 9),
+    "erp_e1": (Distance("erp", {"gap_value": 0.01, "exponent": 1}), {"name": "erp", "gap_value": 0.01, "e": 1}, None),
+    "erp_e15": (Distance("erp", {"gap_value": 0.01, "exponent": 1.5}), {"name": "erp", "gap_value": 0.01, "e": 1.5}, 9),
+    "erp_g1": (Distance("erp", {"gap_value": 1.0}), {"name": "erp", "gap_value": 1.0}, None),
+    "erp_g15_w5": (Distance("erp", {"gap_value": 1.5, "window": WINDOW}), {"name": "erp", "gap_value": 1.5, "window": WINDOW}, None),
     "wdtw": (Distance("wdtw", {"weights": _wdtw_weights(LENGTH)}), {"name": "wdtw", "g": G, "length": LENGTH}, 9),
     "erp": (Distance("erp", {"gap_value": 0.01}), {"name": "erp", "gap_value": 0.01}, None),
     "erp_w5": (Distance("erp", {"gap_value": 0.01, "window": WINDOW}), {"name": "erp", "gap_value": 0.01, "window": WINDOW}, None),
@@ -93,7 +101,7 @@ EVENT_DISTANCES: dict[str, tuple[Distance, dict, int | None]] = {
 }
 #: Distances that searches are run with.
 SEARCHED = ("directa_e2", "dtw", "dtw_w5", "adtw", "wdtw", "erp", "lcss", "msm", "twe")
-RADIUS = 0.42
+RADIUS, ALONE = 0.42, 0.3
 
 
 def _arrow_pairs(kind: str, distance: Distance, digits: int | None) -> Query:
@@ -133,16 +141,19 @@ def calendar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.to_long(days).select("series_id", "i", F.round("value", 2).alias("value"))
 
 
-def dtw_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warping abandoned above a cutoff."""
-    d = next_pairs(vectors(spark, sf_dir)).select("id", elastic.dtw("a", "b", cutoff=0.5).alias("d"))
-    return d.select("id", (F.col("d") == float("inf")).alias("abandoned"), F.when(F.col("d") != float("inf"), F.col("d")).alias("distance"))
+#: Cutoffs that some pairs are above.
+CUTOFFS = {"directa_e2": 2.0, "dtw": 0.5, "dtw_w5": 0.6, "adtw": 0.9, "erp": 1.2, "lcss": 0.3, "msm": 4.0, "twe": 2.0}
 
 
-def directa_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lockstep distance abandoned above a cutoff."""
-    d = next_pairs(vectors(spark, sf_dir)).select("id", elastic.directa("a", "b", cutoff=2.0).alias("d"))
-    return d.select("id", (F.col("d") == float("inf")).alias("abandoned"), F.when(F.col("d") != float("inf"), F.col("d")).alias("distance"))
+def _cut(distance: Distance, cutoff: float, arrow: bool = False) -> Query:
+    """A distance abandoned above a cutoff."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = (vectorised(distance) if arrow else distance.column)("a", "b", cutoff)
+        d = next_pairs(vectors(spark, sf_dir)).select("id", value.alias("d"))
+        return d.select("id", (F.col("d") == float("inf")).alias("abandoned"), F.when(F.col("d") != float("inf"), F.col("d")).alias("distance"))
+
+    return run
 
 
 def dtw_infeasible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +275,7 @@ def has_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = vectors(spark, sf_dir)
-    return search.novel(_asked(series), series, Distance("dtw", {}), RADIUS).select("series_id", "label")
+    return search.novel(_asked(series), series, Distance("dtw", {}), ALONE).select("series_id", "label")
 
 
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,13 +310,13 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEMPLATES = [(1, [10.0, 20.0, 30.0]), (2, [60.0, 40.0, 20.0])]
 
 
-def _daily_sql() -> str:
+def _daily_sql(where: str = "") -> str:
     days = "series as (select user_id id, date_trunc('day', ts) w, list(value order by ts, event_id) s from events group by all)"
     templates = "templates as (select * from (values (1, [10e0, 20e0, 30e0]), (2, [60e0, 40e0, 20e0])) t(t, v))"
     pairs = f"{days}, {templates}, keyed as (select *, row_number() over () id2 from series), pairs as (select id2 id, t c, s a, v b, len(s) n, len(v) m from keyed, templates)"
     return sql.whole(
         sql.distance(pairs, "dtw"),
-        "select k.id series_id, k.w window_start, len(k.s)::integer n_values, f.c::bigint template_id, f.d distance from keyed k join (select *, row_number() over (partition by id order by d, c) r from found) f on f.id = k.id2 and r = 1",
+        f"select k.id series_id, k.w window_start, len(k.s)::integer n_values, f.c::bigint template_id, f.d distance from keyed k join (select *, row_number() over (partition by id order by d, c) r from found) f on f.id = k.id2 and r = 1{where}",
     )
 
 
@@ -329,7 +340,11 @@ def queries() -> dict[str, Query]:
         for name, (distance, _, digits) in named.items():
             found[name] = _pairwise(kind, distance.column, digits)
             found[f"{name}_arrow"] = _arrow_pairs(kind, distance, digits)
-    found |= {"directa_cutoff": directa_cutoff, "dtw_cutoff": dtw_cutoff, "dtw_infeasible": dtw_infeasible, "dtw_path": dtw_path, "dtw_path_arrow": dtw_path_arrow, "ddtw": ddtw}
+    for name, cutoff in CUTOFFS.items():
+        short = "directa" if name == "directa_e2" else name
+        found[f"{short}_cutoff"] = _cut(DISTANCES[name][0], cutoff)
+        found[f"{short}_cutoff_arrow"] = _cut(DISTANCES[name][0], cutoff, True)
+    found |= {"dtw_infeasible": dtw_infeasible, "dtw_path": dtw_path, "dtw_path_arrow": dtw_path_arrow, "ddtw": ddtw}
     found |= {"derive": derive("embeddings"), "derive_events": derive("events"), "wdtw_weights": wdtw_weights, "point_costs": point_costs}
     found |= {"envelopes": _envelope_rows(("upper", "lower")), "upper_envelope": _envelope_rows(("upper",)), "lower_envelope": _envelope_rows(("lower",))}
     found |= {"webb_envelopes": _envelope_rows(("upper", "lower", "lower_upper", "upper_lower")), "envelope_long": envelope_long}
@@ -356,8 +371,9 @@ def oracle_sql() -> dict[str, str]:
     for kind, named in (("embeddings", DISTANCES), ("events", EVENT_DISTANCES)):
         for name, (_, p, digits) in named.items():
             found[name] = found[f"{name}_arrow"] = _pair_sql(kind, digits=digits, **p)
-    for name, distance, cut in (("directa_cutoff", "directa", 2.0), ("dtw_cutoff", "dtw", 0.5)):
-        found[name] = sql.whole(sql.distance(sql.NEXT["embeddings"], distance), f"select id, d > {cut}e0 abandoned, case when d <= {cut}e0 then d end distance from found")
+    for name, cut in CUTOFFS.items():
+        short = "directa" if name == "directa_e2" else name
+        found[f"{short}_cutoff"] = found[f"{short}_cutoff_arrow"] = sql.whole(sql.distance(sql.NEXT["embeddings"], **DISTANCES[name][1]), f"select id, d > {cut}e0 abandoned, case when d <= {cut}e0 then d end distance from found")
     found["dtw_infeasible"] = sql.whole(sql.NEXT["events"], "select id, abs(n-m) > 3 d_infinite, abs(n-m) > 3 e_infinite, abs(n-m) > 3 l_infinite from pairs")
     found["dtw_path"] = found["dtw_path_arrow"] = _dtw_path_sql()
     slopes = sql.derived(sql.NEXT["embeddings"])
@@ -394,12 +410,14 @@ def oracle_sql() -> dict[str, str]:
     found["knn5_dtw"] = _nn1_sql(DISTANCES["dtw"][1], 5)
     found["similarity_join"] = sql.whole(sql.distance(sql.SEARCH, "dtw", window=WINDOW), f"select id query_id, c candidate_id, d distance from found where d <= 0.55e0")
     near = sql.distance(sql.SEARCH, "dtw")
-    for name, word in (("has_neighbour", "exists"), ("novel", "not exists")):
-        found[name] = sql.whole(near, f"select id series_id, label from vectors v where id % 100 = 0 and {word} (select 1 from found where found.id = v.id and d <= {RADIUS}e0)")
+    for name, word, radius in (("has_neighbour", "exists", RADIUS), ("novel", "not exists", ALONE)):
+        found[name] = sql.whole(near, f"select id series_id, label from vectors v where id % 100 = 0 and {word} (select 1 from found where found.id = v.id and d <= {radius}e0)")
     found["classify_knn3"] = sql.whole(_classified_sql(DISTANCES["dtw_w5"][1], 3), "select query_id, label, predicted, distance from classified")
     found["accuracy_rollup"] = sql.whole(
         _classified_sql(DISTANCES["dtw"][1], 1),
         "select label, count(*) n, sum((label = predicted)::integer)::bigint n_right, round(avg((label = predicted)::integer), 9) accuracy from classified group by rollup (label)",
     )
     found["daily_series"] = _daily_sql()
+    # windows are given once the watermark, an hour behind the newest event, has passed their end
+    found["stream_daily_series"] = _daily_sql(" where k.w + interval 1 day <= (select max(ts) from events) - interval 1 hour")
     return found
