@@ -7,7 +7,7 @@ pattern has swallowed with what stands beside them, phone numbers without a plus
 a candidate by features of its format and of the text before and after it.  Those at or above the kind's threshold,
 calibrated for precision, are added where they meet no base span; of overlapping ones the best by its margin stays.
 
-The trees are fitted on two sources: candidates in a bounded sample of the documents (``SAMPLE_DOCS``, ``SAMPLE_CHARS``),
+The trees are fitted on two sources: candidates in a bounded sample of distinct texts (``SAMPLE_DOCS``, ``SAMPLE_CHARS``),
 labelled by the base spans they equal, cut or fail to be, and lines that this module generates, whose spans are known.
 Half of either chooses the thresholds.  Trees are then written out as SQL expressions, so that the main path has no
 Python in it.
@@ -67,6 +67,9 @@ CONTEXT_CHARS, CHUNK = 24, 32
 ROUNDS, RATE, PRECISION = 30, 0.4, 0.99
 #: Documents that trees are fitted on, at most, the longest text taken for it, and candidates.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 1000, 20_000, 20_000
+#: Rows drawn by a hash of the text for each document of the sample, so that what one task sorts does not grow with the
+#: table. Equal texts count once.
+SAMPLE_DRAW = 64
 _FAR = 2**31 - 1
 
 
@@ -358,7 +361,10 @@ def _labelled(docs: DataFrame, text_col: str) -> DataFrame:
     for one equal to a base span, 0 if it cuts or joins one or has not its kind's format; others are left out. In
     generated lines y tells whether it is a known span."""
     text = F.col(text_col)
-    few = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).where((F.length(text) <= SAMPLE_CHARS) & text.rlike(ANY_HINT)).orderBy("h", "text").limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DRAW * SAMPLE_DOCS / max(docs.count(), 1))
+    drawn = F.pmod(F.xxhash64(text), F.lit(2**31)) < int(share * 2**31)
+    few = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).where(drawn & (F.length(text) <= SAMPLE_CHARS) & text.rlike(ANY_HINT))
+    few = few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS)
     few = few.select(F.pmod("h", F.lit(2)).cast("int").alias("part"), F.lit(None).cast("array<string>").alias("known"), "text")
     lines = [f"{i % 2}\t" + ";".join(":".join(map(str, s)) for s in spans) + f"\t{text}" for i, (text, spans) in enumerate(_training_lines())]
     rows = docs.sparkSession.range(1).select(F.explode(F.split(F.lit("\n".join(lines)), "\n")).alias("line")).select(F.split("line", "\t").alias("p"))
