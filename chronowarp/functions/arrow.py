@@ -20,7 +20,10 @@ from .columns import series
 Point = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def point_cost(exponent: float) -> Point:
+def point_cost(exponent: float | Point) -> Point:
+    """The cost for an exponent; a function of two arrays is taken as it is."""
+    if callable(exponent):
+        return exponent
     if exponent == 1:
         return lambda a, b: np.abs(a - b)
     if exponent == 2:

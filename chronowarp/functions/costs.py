@@ -36,6 +36,12 @@ def cost(exponent: Number | Cost) -> Cost:
     return ad1 if exponent == 1 else ad2 if exponent == 2 else ade(exponent)
 
 
+def both(column: Cost, arrays: Callable) -> Callable:
+    """One cost in two forms, for functions that Columns and numpy arrays do not share: it can stand for an exponent in
+    the Column forms, in ``Distance`` and in searches."""
+    return lambda a, b: column(a, b) if isinstance(a, Column) else arrays(a, b)
+
+
 def indexed(a: Column, b: Column, point: Cost) -> Callable[[Column, Column], Column]:
     """(i, j) to the cost between a[i] and b[j]."""
     return lambda i, j: point(F.get(a, i), F.get(b, j))

@@ -37,7 +37,7 @@ def _blocks(queries: DataFrame, candidates: DataFrame, sides: tuple[int, int] |
 
 def _bound(distance: Distance, q: np.ndarray, x: np.ndarray) -> np.ndarray | None:
     """A lower bound on the distances of one query and the rows of ``x``, or None where there is none to be had."""
-    if distance.name != "dtw" or distance.parameters.get("window") is None or len(q) != x.shape[1] or not len(q):
+    if distance.name != "dtw" or distance.parameters.get("window") is None or len(q) != x.shape[1] or not len(q) or callable(distance.parameters.get("exponent")):
         return None
     w, point = distance.parameters["window"], arrow.point_cost(distance.parameters.get("exponent", 2))
     upper, lower = arrow.envelope(q[None], w)
@@ -124,6 +124,70 @@ def novel(queries: DataFrame, candidates: DataFrame, distance: Distance, radius:
     return queries.join(near, "series_id", "left_anti")
 
 
+def _every_pair(series: DataFrame, by: str | None, work, schema: str, types: tuple[pa.DataType, ...]) -> DataFrame:
+    """``work`` over every pair of blocks of a group, the pair of a block with itself included. Series are dealt to
+    blocks of some ``BLOCK`` by a hash, so that a large group is many tasks; a series goes out once for every block of
+    its group. ``work`` gets the members (id, values) of both blocks, the second None for a block with itself."""
+    rows = series.where("values is not null").select((F.col(by) if by else F.lit(0)).alias("g"), F.col("series_id").cast("long").alias("id"), "values").where("g is not null")
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first, second = F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
+    tasks = rows.groupBy("g", first, second).agg(F.collect_list(F.struct("own", "id", "values")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, one, two, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sides = [sorted(((m["id"], np.array(m["values"], dtype=np.float64)) for m in members if m["own"] == own), key=lambda m: m[0]) for own in (one, two)]
+                for columns in work(sides[0], None if one == two else sides[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(columns[0]), batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["g", *(f.split()[0] for f in schema.split(", "))])
+
+    kind = tasks.schema["g"].dataType.simpleString()
+    return tasks.mapInArrow(run, f"g {kind}, {schema}")
+
+
+def _compared(distance: Distance, one: list, two: list | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in ``one``, place in the other, distance) of all pairs of different ids, some thousand at a time."""
+    left, right = np.triu_indices(len(one), 1) if two is None else (x.ravel() for x in np.indices((len(one), len(two))))
+    other = one if two is None else two
+    for at in range(0, len(left), 4096):
+        i, j = left[at : at + 4096], right[at : at + 4096]
+        apart = np.array([one[x][0] != other[y][0] for x, y in zip(i, j, strict=True)], dtype=bool)
+        i, j = i[apart], j[apart]
+        yield i, j, arrow.grouped(distance, [one[x][1] for x in i], [other[y][1] for y in j])
+
+
+def distance_matrix(series: DataFrame, distance: Distance, by: str | None = None) -> DataFrame:
+    """(a_id, b_id, distance), a_id below b_id, for all pairs of series, or of those with equal ``by``: the half of a
+    symmetric matrix. Null series and null groups are in no pair, nor are rows of one id; NaN distances stay. As many
+    rows as there are pairs: ``medoids`` sums them where they arise instead."""
+
+    def work(one: list, two: list | None) -> Iterator[tuple]:
+        other = one if two is None else two
+        for i, j, d in _compared(distance, one, two):
+            a, b = (np.array([side[x][0] for x in places], dtype=np.int64) for side, places in ((one, i), (other, j)))
+            yield np.minimum(a, b), np.maximum(a, b), d
+
+    return _every_pair(series, by, work, "a_id long, b_id long, distance double", (pa.int64(), pa.int64(), pa.float64())).drop("g")
+
+
+def medoids(series: DataFrame, distance: Distance, by: str = "label", digits: int = 9) -> DataFrame:
+    """(``by``, series_id, total): of each group the series with the least sum of distances to the others, the smaller
+    id of those equal to ``digits`` places. A series alone has a total of 0. Only sums leave the tasks."""
+
+    def work(one: list, two: list | None) -> Iterator[tuple]:
+        sums = [np.zeros(len(one)), np.zeros(len(two or []))]
+        for i, j, d in _compared(distance, one, two):
+            np.add.at(sums[0], i, d)
+            np.add.at(sums[0 if two is None else 1], j, d)
+        for side, total in zip((one, two or []), sums, strict=True):
+            yield np.array([m[0] for m in side], dtype=np.int64), total
+
+    sums = _every_pair(series, by, work, "id long, total double", (pa.int64(), pa.float64())).groupBy("g", "id").agg(F.round(F.sum("total"), digits).alias("total"))
+    best = sums.groupBy("g").agg(F.min(F.struct("total", "id")).alias("best"))
+    return best.select(F.col("g").alias(by), F.col("best.id").alias("series_id"), F.col("best.total").alias("total"))
+
+
 def classify(queries: DataFrame, candidates: DataFrame, distance: Distance, k: int = 1) -> DataFrame:
     """(query_id, label, predicted, distance): most frequent label of the k nearest, the smaller one of equals; with
     the nearest distance."""

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as sql
 from .functions import bounds, costs, elastic, envelopes, transforms
+from .functions import sql as sql_names
 from .functions.arrow import Distance, vectorised, vectorised_path
 from .operators import search
 from .sources import series as source
@@ -278,6 +280,16 @@ def novel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.novel(_asked(series), series, Distance("dtw", {}), ALONE).select("series_id", "label")
 
 
+def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all pairs with one label."""
+    return search.distance_matrix(vectors(spark, sf_dir), Distance("dtw", {"window": WINDOW}), "label")
+
+
+def medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most central series of each label."""
+    return search.medoids(vectors(spark, sf_dir), Distance("dtw", {"window": WINDOW}))
+
+
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label voted by the three nearest."""
     series = vectors(spark, sf_dir)
@@ -334,6 +346,88 @@ def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.run_to_end(found, f"stream-{uuid.uuid4().hex}")
 
 
+def _spans(series: DataFrame) -> DataFrame:
+    ends = (F.get("values", F.lit(0)).alias("first_value"), F.element_at("values", -1).alias("last_value"))
+    return series.select("series_id", "window_start", "window_end", F.size("values").alias("n_values"), *ends)
+
+
+SLIDING, SESSION = ("2 days", "1 day"), "36 hours"
+
+
+def _sliding(events: DataFrame) -> DataFrame:
+    return _spans(matching.windowed_series(events, "user_id", "ts", "event_id", "value", *SLIDING))
+
+
+def _sessions(events: DataFrame) -> DataFrame:
+    return _spans(matching.sessions(events, "user_id", "ts", "event_id", "value", SESSION))
+
+
+def _batch(work: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: work(table(spark, sf_dir, "events"))
+
+
+def _streamed(work: Callable[[DataFrame], DataFrame]) -> Query:
+    """The same from a stream that reads all there is and ends, without what is still open then."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import uuid
+
+        from .streaming import sink
+
+        events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+        return sink.run_to_end(work(events.withColumn("ts", F.col("ts").cast("timestamp"))), f"stream-{uuid.uuid4().hex}")
+
+    return run
+
+
+#: Windows over before the watermark, an hour behind the newest event.
+_CLOSED = " where window_end <= (select max(ts) from events) - interval 1 hour"
+
+
+def _sliding_sql(where: str = "") -> str:
+    return (
+        "with spans as (select user_id, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) w, ts, event_id, value from events),"
+        " found as (select user_id series_id, w window_start, w + interval 2 day window_end, count(*)::integer n_values, arg_min(value, (ts, event_id)) first_value, arg_max(value, (ts, event_id)) last_value from spans group by all)"
+        f" select * from found{where}"
+    )
+
+
+def _sessions_sql(where: str = "") -> str:
+    return (
+        "with steps as (select *, case when ts - lag(ts) over u > interval 36 hour then 1 else 0 end new from events window u as (partition by user_id order by ts, event_id)),"
+        " runs as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) run from steps),"
+        " found as (select user_id series_id, min(ts) window_start, max(ts) + interval 36 hour window_end, count(*)::integer n_values, arg_min(value, (ts, event_id)) first_value, arg_max(value, (ts, event_id)) last_value from runs group by user_id, run)"
+        f" select * from found{where}"
+    )
+
+
+#: A cost that grows no further beyond a point, in both forms.
+CAP = 0.01
+CAPPED = costs.both(lambda a, b: F.least((a - b) * (a - b), F.lit(CAP)), lambda a, b: np.minimum((a - b) * (a - b), CAP))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances, bounds and transforms through SQL."""
+    sql_names.register(spark)
+    next_pairs(vectors(spark, sf_dir)).createOrReplaceTempView("series_pairs")
+    return spark.sql(
+        "with e as (select *, ts_upper_envelope(b, 5) u, ts_lower_envelope(b, 5) l from series_pairs) "
+        "select id, ts_dtw(a, b, 2, 5, null) dtw, round(ts_lb_keogh(a, u, l, 2, null), 9) keogh, round(ts_lb_enhanced(a, b, u, l, 2, 5, 5, null), 9) enhanced,"
+        " round(ts_lb_webb(a, b, 2, 5, null), 9) webb, ts_derive(a)[3] slope, round(ts_wdtw_weights(0.05D, size(a))[2], 9) weight from e"
+    )
+
+
+def _sql_functions_sql() -> str:
+    env = sql.bounded(sql.NEXT["embeddings"], WINDOW)
+    bound = f"{sql.enhanced(5, WINDOW)}+{sql.keogh('a', 'bu', 'bl', first='6', last='n-5')}"
+    parts = {
+        "x": sql.whole(sql.distance(sql.NEXT["embeddings"], "dtw", window=WINDOW), "select id, d dtw from found"),
+        "y": sql.whole(sql.webb(sql.NEXT["embeddings"], WINDOW), "select id, round(d, 9) webb from found"),
+        "z": sql.whole(env, f"select id, round({sql.keogh('a', 'bu', 'bl')}, 9) keogh, round({bound}, 9) enhanced, ((a[4]-a[3])+(a[5]-a[3])/2)/2 slope, round(1e0/(1e0+exp(-{G}e0*(2-n/2e0))), 9) weight from env"),
+    }
+    return f"select * from ({parts['x']}) x join ({parts['y']}) y using (id) join ({parts['z']}) z using (id)"
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"series_assemble": series_assemble, "calendar_orders": calendar_orders}
     for kind, named in (("embeddings", DISTANCES), ("events", EVENT_DISTANCES)):
@@ -358,6 +452,11 @@ def queries() -> dict[str, Query]:
     for name in SEARCHED:
         found[f"nn1_{name}"] = _nn1(DISTANCES[name][0], 1, DISTANCES[name][2])
     found |= {"knn5_dtw": _nn1(DISTANCES["dtw"][0], 5), "similarity_join": similarity_join, "has_neighbour": has_neighbour, "novel": novel, "classify_knn3": classify, "accuracy_rollup": accuracy_rollup}
+    capped = Distance("dtw", {"exponent": CAPPED})
+    found |= {"dtw_user_cost": _pairwise("embeddings", capped.column), "dtw_user_cost_arrow": _arrow_pairs("embeddings", capped, None), "nn1_user_cost": _nn1(capped)}
+    found |= {"distance_matrix": distance_matrix, "medoids": medoids, "sql_functions": sql_functions}
+    for name, work in (("sliding_series", _sliding), ("session_series", _sessions)):
+        found[name], found[f"stream_{name}"] = _batch(work), _streamed(work)
     return found | {"daily_series": daily_series, "stream_daily_series": stream_daily_series}
 
 
@@ -417,6 +516,20 @@ def oracle_sql() -> dict[str, str]:
         _classified_sql(DISTANCES["dtw"][1], 1),
         "select label, count(*) n, sum((label = predicted)::integer)::bigint n_right, round(avg((label = predicted)::integer), 9) accuracy from classified group by rollup (label)",
     )
+    capped = f"least((A-B)*(A-B), {CAP}e0)"
+    warped = lambda pairs: sql.programme(pairs, capped, f"least(L, T, Q) + {capped}")
+    found["dtw_user_cost"] = found["dtw_user_cost_arrow"] = sql.whole(warped(sql.NEXT["embeddings"]), "select id, d distance from found")
+    found["nn1_user_cost"] = sql.whole(warped(sql.SEARCH), "select id query_id, 1::integer rank, c candidate_id, d distance from (select *, row_number() over (partition by id order by d, c) r from found) where r = 1")
+    alike = sql.VECTORS + ", pairs as (select x.id, y.id c, x.label, x.s a, y.s b, len(x.s) n, len(y.s) m from vectors x join vectors y on x.label = y.label and x.id < y.id)"
+    near = sql.distance(alike, "dtw", window=WINDOW)
+    found["distance_matrix"] = sql.whole(near, "select id a_id, c b_id, d distance from found")
+    found["medoids"] = sql.whole(
+        near + ", ends as (select id, d from found union all select c, d from found), sums as (select label, v.id, round(coalesce(sum(d), 0), 9) total from vectors v left join ends on ends.id = v.id where label is not null group by all)",
+        "select label, id series_id, total from (select *, row_number() over (partition by label order by total, id) r from sums) where r = 1",
+    )
+    found["sql_functions"] = _sql_functions_sql()
+    found["sliding_series"], found["stream_sliding_series"] = _sliding_sql(), _sliding_sql(_CLOSED)
+    found["session_series"], found["stream_session_series"] = _sessions_sql(), _sessions_sql(_CLOSED)
     found["daily_series"] = _daily_sql()
     # windows are given once the watermark, an hour behind the newest event, has passed their end
     found["stream_daily_series"] = _daily_sql(" where k.w + interval 1 day <= (select max(ts) from events) - interval 1 hour")

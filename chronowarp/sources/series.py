@@ -1,4 +1,4 @@
-"""Series tables: (series_id, label, values) from arrays, from rows, from text files and from calendars."""
+"""Series tables: (series_id, label, values) from arrays, from rows, from text files and from calendars; and to text files."""
 
 from __future__ import annotations
 
@@ -41,3 +41,11 @@ def read_ucr(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"[\s,]+")
     numbers = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.when(x == "?", float("nan")).otherwise(x.cast("double")))
     return lines.select(F.monotonically_increasing_id().alias("series_id"), F.get(parts, F.lit(0)).cast("double").cast("int").alias("label"), numbers.alias("values"))
+
+
+def write_ucr(series: DataFrame, path: str) -> None:
+    """Labelled series as text files that ``read_ucr`` reads: the label, then the values, apart by tabs. Null values are
+    written as ``?``; ids and the order of rows are not kept. A null label or series is an error when written."""
+    refused = F.raise_error(F.lit("a label and values are needed")).cast("string")
+    parts = F.concat(F.array(F.col("label").cast("string")), F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("?"))))
+    series.select(F.when(F.col("label").isNull() | F.col("values").isNull(), refused).otherwise(F.concat_ws("\t", parts)).alias("value")).write.text(path)

@@ -3,11 +3,12 @@
 import random
 
 import naive
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronowarp.functions import envelopes
-from chronowarp.functions.arrow import Distance
+from chronowarp.functions import costs, envelopes
+from chronowarp.functions.arrow import Distance, vectorised
 from chronowarp.operators import search
 from chronowarp.sources import series as source
 from chronowarp.streaming import matching, sink
@@ -68,6 +69,49 @@ def test_joins_and_votes(spark):
     assert report[None].n == len(voted) and report[None].n_right == sum(v.label == v.predicted for v in voted)
 
 
+@pytest.mark.parametrize("lengths", [[9], [7, 10]])
+def test_matrix_and_medoids(spark, monkeypatch, lengths):
+    monkeypatch.setattr(search, "BLOCK", 4)  # a group of fifteen is four blocks
+    rows, df = made(spark, lengths)
+    df = df.union(spark.sql("select 900L, cast(null as int), array(1D) union all select 901L, 77, array(1D, 2D) union all select 902L, 78, cast(null as array<double>)"))
+    d = Distance("dtw", {})
+    want = {(i, j): naive.dtw(a, b) for i, x, a in rows for j, y, b in rows if x == y and i < j}
+    got = search.distance_matrix(df, d, "label").collect()
+    assert len(got) == len(want) and {(r.a_id, r.b_id): r.distance for r in got} == pytest.approx(want)
+    assert search.distance_matrix(df.where("series_id < 12"), d).count() == 66
+    totals = {i: sum(v for k, v in want.items() if i in k) for i, _, _ in rows}
+    best = {label: min((round(totals[i], 9), i) for i, x, _ in rows if x == label) for label in range(4)}
+    found = {r.label: (r.total, r.series_id) for r in search.medoids(df, d).collect()}
+    assert found == {**{k: (pytest.approx(t), i) for k, (t, i) in best.items()}, 77: (0.0, 901)}
+    assert search.medoids(df.limit(0), d).count() == 0
+    twice = search.distance_matrix(df.where("series_id < 2").union(df.where("series_id < 2")), d).collect()
+    assert {(r.a_id, r.b_id) for r in twice} == {(0, 1)} and len(twice) == 4  # rows of one id are not compared
+
+
+def test_own_costs(spark):
+    steep = costs.both(lambda a, b: F.least(F.abs(a - b), F.lit(0.5)), lambda a, b: np.minimum(np.abs(a - b), 0.5))
+    rows, df = made(spark, [10])
+    rows = [r for r in rows if r[0] < 8]
+    df = df.where("series_id < 8")
+    pairs = df.select("series_id", F.col("values").alias("a")).join(df.select((F.col("series_id") - 1).alias("series_id"), F.col("values").alias("b")), "series_id")
+    for distance in (Distance("dtw", {"exponent": steep, "window": 3}), Distance("erp", {"exponent": steep, "gap_value": 0.1})):
+        for r in pairs.select("a", "b", distance.column("a", "b").alias("x"), vectorised(distance)("a", "b").alias("y")).collect():
+            assert r.x == r.y
+        near = {r.query_id: (r.candidate_id, r.distance) for r in search.nn1(df, df, distance).collect()}
+        for i, _, a in rows:
+            assert near[i] == min(((float(distance.batch([a], [b])[0]), j) for j, _, b in rows if j != i))[::-1]
+
+
+def test_series_as_text(spark, tmp_path):
+    rows = [(1, 3, [0.1, 1e300, -2.5e-7]), (2, -4, [1.0, None, float("nan")]), (3, 5, [])]
+    df = spark.createDataFrame(rows, "series_id long, label int, values array<double>")
+    source.write_ucr(df, f"{tmp_path}/x")
+    got = {r.label: r["values"] for r in source.read_ucr(spark, f"{tmp_path}/x").collect()}
+    assert got[3] == rows[0][2] and got[5] == [] and got[-4][0] == 1.0 and all(v != v for v in got[-4][1:])
+    with pytest.raises(Exception, match="label"):
+        source.write_ucr(spark.sql("select 1L series_id, cast(null as int) label, array(1D) values"), f"{tmp_path}/y")
+
+
 def test_sources(spark, tmp_path):
     path = tmp_path / "a.tsv"
     path.write_text("# comment\n1\t0.5\t1e2\t-3\n2,1,?,2\n\n@x\n3 7\n")

@@ -68,7 +68,7 @@ def test_what_is_refused():
 
 def test_sql(spark):
     names = register(spark)
-    assert len(names) == 8
+    assert len(names) == 17
     rows = [(i, series(n), series(m)) for i, (n, m) in enumerate([(4, 4), (5, 7), (0, 3)])] + [(3, None, [1.0])]
     spark.createDataFrame(rows, "i int, a array<double>, b array<double>").createOrReplaceTempView("sql_pairs")
     got = spark.sql("select i, ts_dtw(a, b, 2, null, null) d, ts_dtw(a, b, 1, if(i = 0, 1, null), null) w, ts_msm(a, b, 0.5, 1e9) m, ts_wdtw(a, b, 2, array(1D, 2D, 3D, 4D, 5D, 6D, 7D), null) g, ts_lcss(a, b, 0.5, null, null) l from sql_pairs")
@@ -79,6 +79,32 @@ def test_sql(spark):
             assert r[c] == want[r.i][c] or r[c] == pytest.approx(want[r.i][c])
 
 
+def test_sql_bounds_and_transforms(spark):
+    register(spark)
+    w = 2
+    rows = [(0, series(9), series(9)), (1, series(1), series(1)), (2, [], []), (3, None, [1.0]), (4, series(3), series(4)), (5, [1.0, math.nan], [1.0, 2.0]), (6, [1.0, None], [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "i int, a array<double>, b array<double>")
+    df.select("*", envelopes.webb_envelopes("a", w).alias("ea"), envelopes.webb_envelopes("b", w).alias("eb")).createOrReplaceTempView("sql_bounds")
+    got = spark.sql(
+        "select i, ts_lb_keogh(a, eb.upper, eb.lower, 2, null) k, ts_lb_keogh2j(a, ea.upper, ea.lower, b, eb.upper, eb.lower, 2, 0.5D) j, ts_lb_enhanced(a, b, eb.upper, eb.lower, 2, 2, 2, null) e,"
+        " ts_lb_enhanced2j(a, ea.upper, ea.lower, b, eb.upper, eb.lower, 1.5D, 2, 2, null) f, ts_lb_webb(a, b, 2, 2, null) w, ts_derive(a) d, ts_upper_envelope(b, 2) u, ts_lower_envelope(b, 2) l, ts_wdtw_weights(0.05D, size(b)) g from sql_bounds order by i"
+    ).collect()
+    forms = spark.table("sql_bounds").select(
+        "i",
+        bounds.lb_keogh("a", "eb.upper", "eb.lower").alias("k"),
+        bounds.lb_keogh2j("a", "ea.upper", "ea.lower", "b", "eb.upper", "eb.lower", cutoff=0.5).alias("j"),
+        bounds.lb_enhanced("a", "b", "eb.upper", "eb.lower", 2, w).alias("e"),
+        bounds.lb_enhanced2j("a", "ea.upper", "ea.lower", "b", "eb.upper", "eb.lower", 2, w, 1.5).alias("f"),
+        bounds.lb_webb("a", F.col("ea"), "b", F.col("eb"), w).alias("w"),
+    ).orderBy("i").collect()
+    for r, want in zip(got, forms, strict=True):
+        for c in "kjefw":
+            assert r[c] is None if want[c] is None or want[c] != want[c] else r[c] == pytest.approx(want[c]), (r.i, c)
+    assert got[0].d == pytest.approx(naive.derive(rows[0][1])) and got[0].u == naive.envelope(rows[0][2], w, max) and got[0].l == naive.envelope(rows[0][2], w, min)
+    assert got[2].d == [] and got[2].u == [] and got[3].d is None and len(got[0].g) == 9
+    assert got[5].d == [1.0, None] and got[6].d == [1.0, None]
+
+
 def test_registry_without_a_session():
     """The driver reads the registry before any session exists."""
     root = Path(__file__).resolve().parent.parent
