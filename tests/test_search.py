@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronowarp.functions import costs, envelopes
+from chronowarp.functions import arrow, costs, envelopes
 from chronowarp.functions.arrow import Distance, vectorised
 from chronowarp.operators import search
 from chronowarp.sources import series as source
@@ -55,6 +55,40 @@ def test_nearest(spark, monkeypatch, distance, plain, lengths):
             assert [m[2] for m in mine] == pytest.approx([d for d, _ in every])
 
 
+@pytest.mark.parametrize(
+    "distance",
+    [
+        Distance("dtw", {}),
+        Distance("dtw", {"window": 3}),
+        Distance("dtw", {"exponent": costs.both(lambda a, b: F.least((a - b) * (a - b), F.lit(0.5)), lambda a, b: np.minimum((a - b) * (a - b), 0.5))}),
+        Distance("adtw", {"penalty": 0.1}),
+        Distance("wdtw", {"weights": [0.1 + i / 40 for i in range(20)]}),
+        Distance("erp", {"gap_value": 0.01}),
+        Distance("lcss", {"epsilon": 0.2}),
+        Distance("msm", {"price": 0.1}),
+        Distance("twe", {"nu": 0.01, "penalty": 0.05}),
+    ],
+)
+@pytest.mark.parametrize("exact", [True, False])
+def test_few_compared_in_full(monkeypatch, distance, exact):
+    draw = np.random.default_rng(3)
+    x = np.concatenate([draw.normal(size=(300, 20)), np.full((1, 20), np.nan)])
+    x[150] = x[0]
+    x = x.astype(np.float32).astype(np.float64) if exact else x
+    ids, whole, full = np.arange(301), distance.batch, []
+    want = {}
+    for i in (0, 1, 2):
+        d = whole(np.repeat(x[i : i + 1], 300, axis=0), x[:300])
+        want[i] = sorted((float(d[j]), j) for j in range(300) if j != i)[:3]
+    assert all((d == whole(x[i : i + 1], x[j : j + 1])[0]) for i in want for d, j in want[i])
+    monkeypatch.setattr(Distance, "batch", lambda self, a, b, cutoff=None: full.append(len(a)) or arrow._batch(self.name, self.parameters, a, b, cutoff))
+    ((asked, found, far),) = search._nearest(distance, {20: (ids[:3], x[:3])}, {20: (ids, x)}, 3, float("inf"), False)
+    got = {i: [(float(d), int(j)) for q, j, d in zip(asked, found, far, strict=True) if q == i] for i in (0, 1, 2)}
+    assert got == want
+    assert sum(full) < 3 * 300 / 2
+    assert np.array_equal(arrow.crossed(distance, x[:7], x[290:]), np.array([whole(np.repeat(x[i : i + 1], 11, axis=0), x[290:]) for i in range(7)]), equal_nan=True)
+
+
 def test_joins_and_votes(spark):
     rows, df = made(spark, [12])
     asked, d, radius = df.where("series_id % 3 = 0"), Distance("dtw", {"window": 2}), 2.0
