@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronowarp.functions import arrow, costs, envelopes
+from chronowarp.functions import arrow, costs, elastic, envelopes
 from chronowarp.functions.arrow import Distance, vectorised
 from chronowarp.operators import search
 from chronowarp.sources import series as source
@@ -182,6 +182,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sum(len(r["values"]) for r in held) == 2000
 
 
+def test_paths_in_bulk(spark):
+    from chronowarp import queries
+
+    found = queries.queries()["dtw_path"](spark, "/root/testdata/sf0.001")
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    rows = queries.next_pairs(queries.vectors(spark, "/root/testdata/sf0.001")).where("id < 20").select("id", elastic.dtw_path("a", "b").alias("p")).collect()
+    got = {r.id: (r.distance, r.max_deviation) for r in found.where("id < 20").collect()}
+    assert got == {r.id: (r.p.cost, r.p.max_deviation) for r in rows} and len(got) == 20
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
