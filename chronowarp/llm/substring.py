@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowed import map_arrow
@@ -137,9 +137,14 @@ def _settled(df: DataFrame, tag: str, since: list[str]) -> DataFrame:
     for path in scratch.paths(spark)[:-1]:
         if path not in since:
             scratch.drop(spark, path)
+    _freed(spark)
+    return out
+
+
+def _freed(spark: SparkSession) -> None:
+    """Shuffles no longer in use go."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def _postings(seeded: DataFrame, seeds: str, places: str) -> DataFrame:
@@ -492,15 +497,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     searched = seeded.join(_small(whole.select("id")), "id", "left_anti")
     held = scratch.paths(spark)
-    near = scratch.materialise(_near(docs, _postings(searched, "runs", "run_places")), "near-runs")
-    runs = _settled(_equal_runs(_by_document(_led(near, "run-leaders"))), "equal-runs", held)
+    near = _near(docs, _postings(searched, "runs", "run_places"))
+    places = [path for path in scratch.paths(spark) if path not in held]
+    _freed(spark)
     matches = []
     for part in range(PARTS):
         held = scratch.paths(spark)
         matches.append(_settled(_led(_postings(searched, f"seeds{part}", f"places{part}"), "leaders"), "matches", held))
-    scratch.drop(spark, seeds_at)  # before texts are shuffled
+    scratch.drop(spark, seeds_at)  # before every shingle near a run is sorted and texts are shuffled
     held = scratch.paths(spark)
     chained = _settled(_chained(_by_document(reduce(DataFrame.unionAll, matches))), "chains", held[: -len(matches)])
+    held = [path for path in scratch.paths(spark) if path not in places]
+    runs = _settled(_equal_runs(_by_document(_led(scratch.materialise(near, "near-runs"), "run-leaders"))), "equal-runs", held)
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
     held = scratch.paths(spark)
     segments = _settled(_segments(docs, ranges.distinct()), "segments", held)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronowarp.llm import components, minhash, packing, pieces, pii, quality, sharding, substring, textops, toxicity
+from chronowarp.llm import components, minhash, packing, pieces, pii, quality, scratch, sharding, substring, textops, toxicity
 
 RNG = random.Random(3)
 VOCABULARY = ["w" + "".join(RNG.choice("aeioulmnrst") for _ in range(5)) for _ in range(3000)]
@@ -154,6 +154,24 @@ def test_passages(spark):
     assert substring.passages(empty(spark)).collect() == []
 
 
+def test_seeds_go_before_runs_are_sorted(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = " ".join(words(60, rng))
+    written, held, write = [], {}, scratch.materialise
+
+    def note(df, tag, *more):
+        written.append(tag)
+        held[tag] = {path.rstrip("/").rsplit("/", 1)[-1] for path in scratch.paths(spark)}
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(scratch, "materialise", note)
+    with scratch.scoped("seeds-go"):
+        assert len(substring.passages(corpus(spark, [f"{' '.join(words(20, rng))} {shared}" for _ in range(4)])).collect()) == 3
+        seeds = held["equal-words"] - held["seeds"]
+        assert len(seeds) == 1 and not seeds & held["near-runs"] and written.index("near-runs") > written.index("chains")
+    scratch.clear(spark, "seeds-go")
+
+
 def test_passages_of_stock_phrases(spark):
     """Every seed of the passage stands first in an unrelated document, nine words of it in each."""
     rng = random.Random(14)
