@@ -14,6 +14,10 @@ words shares one, tell where a document may repeat another.  There, every shingl
 that an earlier document holds is a copy by itself, of its first holder: each word of a run of ``LEAST_WORDS`` words
 that stands in an earlier document lies in such a shingle, whichever documents hold parts of the run.
 
+Seeds travel in blocks, not as rows: a block of texts says each of its seeds once, with its first holder; blocks' seeds
+meet in buckets of the hash, and only what two documents hold is answered, to the blocks that hold it, where places are
+looked up.  So a seed in every document weighs one entry a block, and a seed of one document ends in its bucket.
+
 Documents of equal words are matched whole beforehand; only the one with the smallest id is searched.
 
 Defined results: null, empty and short texts have no passages; repeats inside one document do not count; repeated rows
@@ -24,12 +28,12 @@ rows; columns of any name pass through ``remove``.
 from __future__ import annotations
 
 import gc
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,17 +47,21 @@ RUN_WINDOW = LEAST_WORDS - RUN + 1
 #: Chains of fewer words than this are chance or a short phrase, unless a seed of theirs recurs nearby: what has a
 #: short period has few seeds, so that alignment decides.
 LEAST_CHAIN, GAP_COST, FLANK, DROP, JOIN_WITHIN, GAP_CELLS = 12, 0.1, 64, 10, 10, 2500
-#: Rows up to this number are sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows up to this number are sent to every executor; more are joined by a shuffle. Few, so that small tables are worked
+#: on as large ones are. Numbers of documents left out take four bytes each.
+BROADCAST_ROWS, BROADCAST_GONE = 5_000, 5_000_000
 #: Seeds are matched in so many parts (a power of two) by their hash, one after the other, so that the disk holds the
 #: shuffles of one.
-PARTS = 8
+PARTS = 4
+#: Places of seeds go about in blocks of texts of so many bytes or documents, each one row, and seeds meet in buckets of
+#: about so many a task.
+BLOCK_BYTES, BLOCK_ROWS, BUCKET, LEAST_BUCKETS = 2 << 20, 1 << 16, 1 << 19, 12
 
 
-def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
-    """``df``, broadcast if it has few rows; where a column holds lists, their entries count."""
+def _small(df: DataFrame, lists: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, broadcast if it has few rows (``most``); where a column holds lists, their entries count."""
     n = df.agg(F.sum(F.size(lists))).first()[0] or 0 if lists else df.count()
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= most else df
 
 
 def _slide(x: np.ndarray, w: int, op, fill) -> np.ndarray:
@@ -66,69 +74,107 @@ def _slide(x: np.ndarray, w: int, op, fill) -> np.ndarray:
     return out
 
 
-def minimizers(words: textops.Words, k: int = K, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its seeds (hash, place of the first word), at every place it is chosen."""
+def minimizers(words: textops.Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of all texts (hash, which text, place of the first word), at every place they are chosen, in order."""
     h = words.hashes
     top = np.iinfo(np.uint64).max
     counts = np.diff(words.first)
     run = np.full(len(h), top, dtype=np.uint64)
     if len(h) >= k:
         run[: len(h) - k + 1] = textops.rolled(h, k)
-    place = np.arange(len(h)) + np.repeat(np.arange(len(counts)), counts) * window  # a gap after each text
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(h)) + text * window  # a gap after each text
     inside = np.arange(len(h)) + k <= np.repeat(words.first[1:], counts)
     padded = np.full(len(h) + len(counts) * window, top, dtype=np.uint64)
     padded[place[inside]] = run[inside]
     least = _slide(padded, window, np.minimum, top)
     best = _slide(least[::-1], window, np.maximum, np.uint64(0))[::-1]
-    chosen = inside & (best[place] == run)
-    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-        at = np.flatnonzero(chosen[a:b])
-        yield run[a:b][at].view(np.int64), at.astype(np.int32)
+    at = np.flatnonzero(inside & (best[place] == run))
+    # chosen for being small; mixed again they are spread evenly
+    return textops.mix(run[at]), text[at], (at - words.first[text[at]]).astype(np.int32)
 
 
-def _listed(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.r_[0, np.cumsum([len(v) for v in lists])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else [], kind))
+def _listed(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """One list of ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _marked(seeds: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``at`` (rising), with -1 - at where the seed stood in the text before."""
-    out = -1 - at
-    first = np.unique(seeds, return_index=True)[1]
-    out[first] = at[first]
-    return out
+def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between each bound and the next."""
+    values = np.ascontiguousarray(values)
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, dtype=np.uint8)
+    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+class _Blocks:
+    """Places of seeds gathered from several texts into one row at a time: a number of its own in the table, ids of its
+    documents, their word counts and digests, and by part of the seeds how many each document has, seeds and places."""
+
+    TYPES = "block long, ids array<long>, n array<int>, d1 array<long>, d2 array<long>"
+
+    def __init__(self, parts: list[str]):
+        self.parts, self.number = parts, TaskContext.get().partitionId() << 32
+        self._empty()
+
+    @classmethod
+    def schema(cls, parts: list[str]) -> str:
+        return cls.TYPES + "".join(f", places{i} long, counts{i} binary, seeds{i} binary, at{i} binary" for i in parts)
+
+    def _empty(self) -> None:
+        self.docs, self.postings, self.bytes, self.rows = [], {i: [] for i in self.parts}, 0, 0
+
+    def add(self, docs: tuple[np.ndarray, ...], postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> Iterator[pa.RecordBatch]:
+        """Documents (id, n, d1, d2) and, by part, their (seeds, which document, place) in order; a full row."""
+        self.docs.append(docs)
+        for i, (seeds, which, at) in postings.items():
+            self.postings[i].append((np.bincount(which, minlength=len(docs[0])).astype(np.int32), seeds, at))
+        self.bytes, self.rows = self.bytes + size, self.rows + len(docs[0])
+        if self.bytes >= BLOCK_BYTES or self.rows >= BLOCK_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = [pa.array([self.number], pa.int64())]
+            columns += [_listed(np.concatenate(x), t) for x, t in zip(zip(*self.docs, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            names = ["block", "ids", "n", "d1", "d2"]
+            for i in self.parts:
+                lists = [np.concatenate(x) for x in zip(*self.postings[i], strict=True)]
+                columns += [pa.array([len(lists[1])], pa.int64()), *(_cut(x, np.array([0, len(x)])) for x in lists)]
+                names += [f"places{i}", f"counts{i}", f"seeds{i}", f"at{i}"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            self.number += 1
+            self._empty()
 
 
 def _seeded(docs: DataFrame) -> DataFrame:
-    """(id, n, d1, d2, seeds<i>, places<i>, runs, run_places) of (id, text): word count, digests of the word sequence,
-    its seeds by part of their hash, with marked places, its thinned shingles of ``RUN`` words."""
+    """Blocks of (id, text): seeds by part of their hash, and as part ``_runs`` thinned shingles of ``RUN`` words."""
+    parts = [*map(str, range(PARTS)), "_runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(parts)
         for b in batches:
-            n, d1, d2, runs, places = [], [], [], [], []
-            parts: list[tuple[list, list]] = [([], []) for _ in range(PARTS)]
+            ids = b.column(0).to_numpy()
             for words in textops.chunks(b.column(1)):
-                h = words.hashes
-                for (seeds, at), long, a, e in zip(minimizers(words), minimizers(words, RUN, RUN_WINDOW), words.first[:-1], words.first[1:], strict=True):
-                    n.append(int(e - a))
-                    turn = textops.mix(h[a:e] + np.arange(e - a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    d1.append(int(turn.sum(dtype=np.uint64).view(np.int64)))
-                    d2.append(int(textops.mix(turn).sum(dtype=np.uint64).view(np.int64)))
-                    at = _marked(seeds, at)
-                    which = seeds & (PARTS - 1)
-                    for i, (own, where) in enumerate(parts):
-                        mine = which == i
-                        own.append(seeds[mine])
-                        where.append(at[mine])
-                    runs.append(long[0])
-                    places.append(long[1])
-            columns = [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
-            for own, where in (*parts, (runs, places)):
-                columns += [_listed(own, pa.int64()), _listed(where, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", *names])
-
-    names = [f"{c}{i}" for i in range(PARTS) for c in ("seeds", "places")] + ["runs", "run_places"]
-    return map_arrow(docs, run, "id long, n int, d1 long, d2 long, " + ", ".join(f"{c} array<{'int' if 'places' in c else 'long'}>" for c in names))
+                h, first = words.hashes, words.first
+                n = np.diff(first)
+                turn = textops.mix(h + (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                d1, d2 = (np.diff(np.cumsum(np.r_[np.uint64(0), x], dtype=np.uint64)[first]).view(np.int64) for x in (turn, textops.mix(turn)))
+                seeds, which, at = minimizers(words)
+                part = seeds & np.uint64(PARTS - 1)
+                postings = {str(i): (seeds[mine], which[mine], at[mine]) for i in range(PARTS) for mine in (np.flatnonzero(part == i),)}
+                yield from blocks.add((ids[words.rows], n, d1, d2), postings | {"_runs": minimizers(words, RUN, RUN_WINDOW)}, len(words.data))
+        yield from blocks.rest()
+
+    return map_arrow(docs, run, _Blocks.schema(parts))
 
 
 def _settled(df: DataFrame, tag: str, since: list[str]) -> DataFrame:
@@ -147,77 +193,159 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _postings(seeded: DataFrame, seeds: str, places: str) -> DataFrame:
-    """(seed, id, at), one row a place of a seed."""
-    rows = seeded.select("id", F.explode(F.arrays_zip(seeds, places)).alias("x"))
-    return rows.select(F.col(f"x.{seeds}").alias("seed"), "id", F.col(f"x.{places}").alias("at"))
+def _places(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seeds, id, place) of row ``i`` of (block, ids, gone, counts, seeds, at), without documents that are gone, by
+    id and place."""
+    ids = b.column(1)[i].values.to_numpy()
+    counts, seeds, at = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=t) for k, t in ((3, np.int32), (4, np.uint64), (5, np.int32)))
+    which = np.repeat(np.arange(len(ids)), counts)
+    if b.column(2)[i].is_valid:
+        stays = np.ones(len(ids), dtype=bool)
+        stays[b.column(2)[i].values.to_numpy()] = False
+        stays = stays[which]
+        seeds, which, at = seeds[stays], which[stays], at[stays]
+    own = ids[which]
+    if (np.diff(own) < 0).any():
+        order = np.argsort(own, kind="stable")
+        seeds, own, at = seeds[order], own[order], at[order]
+    return seeds, own, at
+
+
+def _answers(blocks: DataFrame, buckets: int, everywhere: bool) -> DataFrame:
+    """(block, seeds, lids, lats) of (block, ids, gone, counts, seeds, at): the seeds of a block that two documents
+    hold, with their leaders: the smallest id and the seed's first place in that document. Blocks in which only the leader
+    holds a seed are told ``everywhere`` alone. A block says each seed once, however many documents hold it."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, block in enumerate(b.column(0).to_pylist()):
+                seeds, own, at = _places(b, i)
+                order = np.argsort(seeds, kind="stable")
+                seeds = seeds[order]
+                edge = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1], True]) if len(seeds) else np.zeros(1, dtype=np.int64)
+                one, last = order[edge[:-1]], order[edge[1:] - 1]
+                seeds, low = seeds[edge[:-1]], own[one]
+                bucket = (seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # rises with the seed
+                new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(seeds) else np.zeros(1, dtype=np.int64)
+                columns = [pa.array(bucket[new[:-1]].astype(np.int32)), pa.array(np.full(len(new) - 1, block), pa.int64())]
+                columns += [_cut(x, new) for x in (seeds, low, at[one], own[last] != low)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "seeds", "low", "at", "more"])
+
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if len(b):
+                seeds, n = _flat(b.column(2), np.uint64)
+                parts.append((seeds, *(_flat(b.column(k), t)[0] for k, t in ((3, np.int64), (4, np.int32), (5, bool))), np.repeat(b.column(1).to_numpy(), n)))
+        if not parts:
+            return
+        seeds, low, at, more, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(seeds)
+        seeds, low, at, more, block = (x[order] for x in (seeds, low, at, more, block))
+        new = np.r_[True, seeds[1:] != seeds[:-1]]
+        first, which = np.flatnonzero(new), np.cumsum(new) - 1
+        lid = np.minimum.reduceat(low, first)
+        shared = (np.maximum.reduceat(low, first) != lid) | np.logical_or.reduceat(more, first)
+        lat = np.minimum.reduceat(np.where(low == lid[which], at, np.iinfo(np.int32).max), first)
+        told = np.flatnonzero(shared[which] if everywhere else shared[which] & (more | (low != lid[which])))
+        told = told[np.argsort(block[told], kind="stable")]
+        seeds, block, which = seeds[told], block[told], which[told]
+        if len(told):
+            new = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            yield pa.RecordBatch.from_arrays([pa.array(block[new[:-1]]), *(_cut(x, new) for x in (seeds, lid[which], lat[which]))], names=["block", "seeds", "lids", "lats"])
+
+    said = map_arrow(blocks, firsts, "bucket int, block long, seeds binary, low binary, at binary, more binary")
+    return map_arrow(said.repartitionById(buckets, "bucket"), leaders, "block long, seeds binary, lids binary, lats binary")
+
+
+def _led(blocks: DataFrame, part: str, tag: str, everywhere: bool = False) -> DataFrame:
+    """(block, id, lid, at, lat) of blocks (with ``gone``, documents left out), each but the block a list in bytes:
+    places of seeds that an earlier document holds (``everywhere``: that two documents hold), with their leaders."""
+    total = blocks.agg(F.sum(f"places{part}")).first()[0] or 0
+    rows = blocks.select("block", "ids", "gone", f"counts{part}", f"seeds{part}", f"at{part}")
+    answers = _answers(rows, max(min(LEAST_BUCKETS, 1 + total // 10_000), -(-total // BUCKET)), everywhere)
+    answers = scratch.materialise(answers, tag).groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("seeds", "lids", "lats")))
+    _freed(blocks.sparkSession)  # what blocks have said
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, block in enumerate(b.column(0).to_pylist()):
+                seeds, own, at = _places(b, i)
+                known, lid, lat = (_flat(b.column(k)[i].values, t)[0] for k, t in ((6, np.uint64), (7, np.int64), (8, np.int32)))
+                order = np.argsort(known)
+                known = known[order]
+                found = np.searchsorted(known, seeds).clip(max=len(known) - 1)
+                hit = np.flatnonzero(known[found] == seeds)
+                own, at, found = own[hit], at[hit], order[found[hit]]
+                lid, lat = lid[found], lat[found]
+                if not everywhere:
+                    other = own != lid
+                    own, at, lid, lat = own[other], at[other], lid[other], lat[other]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(_cut(x, np.array([0, len(x)])) for x in (own, lid, at, lat))], names=["block", "id", "lid", "at", "lat"])
+
+    return map_arrow(rows.join(answers.hint("merge"), "block"), run, "block long, id binary, lid binary, at binary, lat binary")
+
+
+def _near(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks of every shingle of ``RUN`` words that starts less than ``RUN_WINDOW`` words from a thinned one which two
+    documents hold."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                own, at = (_flat(b.column(k)[i : i + 1], t)[0] for k, t in ((1, np.int64), (3, np.int32)))
+                edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]]), lists], names=["id", "at"])
 
-def _near(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(seed, id, marked at): every shingle of ``RUN`` words that starts less than ``RUN_WINDOW`` words from a thinned one
-    which two documents hold, (seed, id, at) of ``runs``."""
-    shared = runs.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("seed")
-    shared = scratch.materialise(shared, "shared-runs")
-    at = scratch.materialise(runs.join(shared, "seed").groupBy("id").agg(F.collect_set("at").alias("at")), "run-places")
+    at = map_arrow(_led(blocks, "_runs", "shared-runs", everywhere=True), listed, "id long, at array<int>")
+    at = scratch.materialise(at.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at")), "run-places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(["_near"])
         for b in batches:
-            wanted = b.column(2).to_pylist()
+            wanted, ids = b.column(2), b.column(0).to_numpy()
             for words in textops.chunks(b.column(1)):
-                h, seeds, places, rows = words.hashes, [], [], []
+                h, seeds, places = words.hashes, [], []
                 for i, lo, hi in zip(words.rows, words.first[:-1], words.first[1:], strict=True):
                     n = int(hi - lo) - RUN + 1
-                    if n <= 0:
-                        continue
-                    change, found = np.zeros(n + 1, dtype=np.int64), np.array(wanted[i])
-                    np.add.at(change, np.maximum(found - RUN_WINDOW + 1, 0).clip(max=n), 1)
-                    np.add.at(change, (found + RUN_WINDOW).clip(max=n), -1)
-                    start = np.flatnonzero(np.cumsum(change)[:n] > 0)
-                    seeds.append(textops.rolled(h[lo:hi], RUN)[start].view(np.int64))
-                    places.append(_marked(seeds[-1], start.astype(np.int32)))
-                    rows.append(np.full(len(start), i))
-                if rows:
-                    columns = [pa.array(np.concatenate(seeds)), b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at"])
-
-    return map_arrow(docs.join(_small(at, "at"), "id").select("id", "text", "at"), run, "seed long, id long, at int")
+                    start = np.empty(0, dtype=np.int64)
+                    if n > 0:
+                        change, found = np.zeros(n + 1, dtype=np.int64), wanted[i].values.to_numpy().astype(np.int64)
+                        np.add.at(change, np.maximum(found - RUN_WINDOW + 1, 0).clip(max=n), 1)
+                        np.add.at(change, (found + RUN_WINDOW).clip(max=n), -1)
+                        start = np.flatnonzero(np.cumsum(change)[:n] > 0)
+                        seeds.append(textops.rolled(h[lo:hi], RUN)[start])
+                    places.append(start.astype(np.int32))
+                which = np.repeat(np.arange(len(places)), [len(p) for p in places])
+                none = np.zeros(len(places), dtype=np.int64)
+                seeds = np.concatenate(seeds) if seeds else np.empty(0, dtype=np.uint64)
+                yield from blocks.add((ids[words.rows], none, none, none), {"_near": (seeds, which, np.concatenate(places))}, len(words.data))
+        yield from blocks.rest()
+
+    return map_arrow(docs.join(_small(at, "at"), "id").select("id", "text", "at"), run, _Blocks.schema(["_near"]))
 
 
 def _equal_runs(matches: DataFrame) -> DataFrame:
-    """(id, start, stop, lid) of (id, matches): words under shingles of ``RUN`` words of one leader that meet."""
+    """(id, start, stop, lid) of matches: words under shingles of ``RUN`` words of one leader that meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            values = lists.flatten()
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            lid, at = (values.field(c).to_numpy() for c in ("lid", "at"))
-            order = np.lexsort((at, lid, row))
-            row, lid, at = row[order], lid[order], at[order]
-            new = np.ones(len(at) + 1, dtype=bool)
-            new[1:-1] = (row[1:] != row[:-1]) | (lid[1:] != lid[:-1]) | (at[1:] > at[:-1] + RUN)
-            edge = np.flatnonzero(new)
-            first, last = edge[:-1], edge[1:] - 1
-            columns = [b.column(0).take(pa.array(row[first])), pa.array(at[first], pa.int32()), pa.array(at[last] + RUN, pa.int32()), pa.array(lid[first], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "stop", "lid"])
+            for i in range(len(b)):
+                own, lid, at = (_flat(b.column(k)[i : i + 1], t)[0] for k, t in ((1, np.int64), (2, np.int64), (3, np.int32)))
+                order = np.lexsort((at, lid, own))
+                own, lid, at = own[order], lid[order], at[order]
+                new = np.ones(len(at) + 1, dtype=bool)
+                new[1:-1] = (own[1:] != own[:-1]) | (lid[1:] != lid[:-1]) | (at[1:] > at[:-1] + RUN)
+                edge = np.flatnonzero(new) if len(at) else np.zeros(1, dtype=np.int64)
+                first, last = edge[:-1], edge[1:] - 1
+                columns = [pa.array(own[first]), pa.array(at[first], pa.int32()), pa.array(at[last] + RUN, pa.int32()), pa.array(lid[first], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "stop", "lid"])
 
     return map_arrow(matches, run, "id long, start int, stop int, lid long")
 
 
-def _led(seeds: DataFrame, tag: str) -> DataFrame:
-    """(id, lid, at, lat) of (seed, id, marked at): each document's seeds that an earlier document holds, with their
-    leaders: that document and the seed's first place in it."""
-    first = F.min_by("at", F.when(F.col("at") >= 0, F.col("id")))
-    leaders = seeds.groupBy("seed").agg(F.min("id").alias("lid"), first.alias("lat"), F.max("id").alias("last")).where("lid <> last")
-    leaders = scratch.materialise(leaders.select("seed", "lid", "lat"), tag)
-    return seeds.join(leaders, "seed").where("id <> lid").select("id", "lid", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "lat")
-
-
-def _by_document(matches: DataFrame) -> DataFrame:
-    """(id, matches (lid, at, lat)) of (id, lid, at, lat)."""
-    return matches.groupBy("id").agg(F.collect_list(F.struct("lid", "at", "lat")).alias("matches"))
-
-
 class _PrefixMax:
     """Fenwick tree of the largest (value, index) among the first places."""
 
@@ -286,29 +414,42 @@ def recurring(anchors: list[tuple[int, int]], within: int = 2 * LEAST_CHAIN) ->
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """(id, lid, x0, x1, y0, y1, xs, ys) of (id, matches): chains, the word ranges they may reach, their anchors."""
+    """(id, lid, x0, x1, y0, y1, xs, ys) of matches, one row a block: chains, the word ranges they may reach, their
+    anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for own, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for m in found:
-                    by[m["lid"]].append((m["at"], m["lat"]))
-                for lid in sorted(by):
-                    if len(by[lid]) < 2:
-                        continue
-                    again = recurring(by[lid])
-                    for c in chains(by[lid]):
+            for i in range(len(b)):
+                own, lid, at, lat = (_flat(b.column(k)[i].values, t)[0] for k, t in ((1, np.int64), (2, np.int64), (3, np.int32), (4, np.int32)))
+                if not len(own):
+                    continue
+                order = np.lexsort((lat, at, lid, own))
+                own, lid, at, lat = own[order], lid[order], at[order], lat[order]
+                new = np.r_[True, (own[1:] != own[:-1]) | (lid[1:] != lid[:-1])]
+                first, group = np.flatnonzero(new), np.cumsum(new) - 1
+                stop = np.r_[first[1:], len(own)]
+                # a chain is too short where all of them would be, unless a seed recurs
+                wide = np.minimum(at[stop - 1] - at[first], np.maximum.reduceat(lat, first) - np.minimum.reduceat(lat, first)) + K >= LEAST_CHAIN
+                by_lat = np.lexsort((lat, group))
+                same = np.flatnonzero((group[by_lat][1:] == group[by_lat][:-1]) & (lat[by_lat][1:] == lat[by_lat][:-1]))
+                twice = np.zeros(len(first), dtype=bool)
+                twice[group[by_lat][same]] = True
+                for g in np.flatnonzero((wide | twice) & (stop - first > 1)).tolist():
+                    lo, hi = first[g], stop[g]
+                    anchors = list(zip(at[lo:hi].tolist(), lat[lo:hi].tolist(), strict=True))
+                    again = recurring(anchors) if twice[g] else ()
+                    for c in chains(anchors):
                         (x0, y0), (x1, y1) = c[0], c[-1]
-                        if min(x1 - x0, y1 - y0) + K >= LEAST_CHAIN or any(a in again for a in c):
+                        if min(x1 - x0, y1 - y0) + K >= LEAST_CHAIN or again and any(a in again for a in c):
                             xs, ys = (np.array(v, dtype=np.int32).tobytes() for v in zip(*c, strict=True))
-                            rows.append((own, lid, max(0, x0 - FLANK), x1 + K + FLANK, max(0, y0 - FLANK), y1 + K + FLANK, xs, ys))
+                            rows.append((int(own[lo]), int(lid[lo]), max(0, x0 - FLANK), x1 + K + FLANK, max(0, y0 - FLANK), y1 + K + FLANK, xs, ys))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "lid", "x0", "x1", "y0", "y1", "xs", "ys"])
 
-    return map_arrow(matches, run, "id long, lid long, x0 int, x1 int, y0 int, y1 int, xs binary, ys binary")
+    matches = matches.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("id", "lid", "at", "lat")))
+    return map_arrow(matches, run, "id long, lid long, x0 int, x1 int, y0 int, y1 int, xs binary, ys binary").distinct()
 
 
 def _segments(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -490,25 +631,31 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     seeded = scratch.materialise(_seeded(docs), "seeds")
     seeds_at = scratch.paths(spark)[-1]
-    groups = seeded.where(f"n >= {K}").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    each = seeded.select("block", F.posexplode(F.arrays_zip("ids", "n", "d1", "d2")).alias("place", "x"))
+    each = each.select("block", "place", F.col("x.ids").alias("id"), "x.n", "x.d1", "x.d2").where(f"n >= {K}")
+    groups = each.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
     groups = scratch.materialise(groups.where("members > 1").drop("members"), "equal-words")
-    whole = seeded.where(f"n >= {K}").select("id", "n", "d1", "d2").join(_small(groups), ["n", "d1", "d2"]).where("id <> rep").select("id", "n", "rep")
-    whole = scratch.materialise(whole.distinct(), "whole-copies")
+    whole = each.join(_small(groups), ["n", "d1", "d2"]).where("id <> rep").select("block", "place", "id", "n", "rep")
+    whole = scratch.materialise(whole, "whole-copies")
 
-    searched = seeded.join(_small(whole.select("id")), "id", "left_anti")
+    gone = scratch.materialise(whole.groupBy("block").agg(F.collect_list("place").alias("gone")), "gone")
+    whole = whole.select("id", "n", "rep").distinct()
+    searched = seeded.join(_small(gone, "gone", BROADCAST_GONE), "block", "left")
     held = scratch.paths(spark)
-    near = _near(docs, _postings(searched, "runs", "run_places"))
+    near = _near(docs, searched)
     places = [path for path in scratch.paths(spark) if path not in held]
     _freed(spark)
     matches = []
     for part in range(PARTS):
         held = scratch.paths(spark)
-        matches.append(_settled(_led(_postings(searched, f"seeds{part}", f"places{part}"), "leaders"), "matches", held))
+        matches.append(_settled(_led(searched, str(part), "leaders"), "matches", held))
     scratch.drop(spark, seeds_at)  # before every shingle near a run is sorted and texts are shuffled
     held = scratch.paths(spark)
-    chained = _settled(_chained(_by_document(reduce(DataFrame.unionAll, matches))), "chains", held[: -len(matches)])
+    chained = _settled(_chained(reduce(DataFrame.unionAll, matches)), "chains", held[: -len(matches)])
     held = [path for path in scratch.paths(spark) if path not in places]
-    runs = _settled(_equal_runs(_by_document(_led(scratch.materialise(near, "near-runs"), "run-leaders"))), "equal-runs", held)
+    near = scratch.materialise(near, "near-runs").withColumn("gone", F.lit(None).cast("array<int>"))
+    _freed(spark)  # texts
+    runs = _settled(_equal_runs(_led(near, "_near", "run-leaders")), "equal-runs", held)
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
     held = scratch.paths(spark)
     segments = _settled(_segments(docs, ranges.distinct()), "segments", held)

@@ -172,6 +172,30 @@ def test_seeds_go_before_runs_are_sorted(spark, monkeypatch):
     scratch.clear(spark, "seeds-go")
 
 
+def test_seeds_meet_in_blocks(spark, monkeypatch):
+    """Rows written for seeds are one a block of documents, or one where a bucket answers it, not one a place; how
+    documents are dealt to blocks changes nothing."""
+    rng = random.Random(17)
+    shared = words(400, rng)
+    docs = corpus(spark, [" ".join(words(30, rng) + shared[10 * i : 10 * i + 100] + words(30, rng)) for i in range(30)])
+    rows, write = {}, scratch.materialise
+
+    def note(df, tag, *more):
+        out = write(df, tag, *more)
+        rows.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "materialise", note)
+    found = []
+    with scratch.scoped("blocks"):
+        for n in (1, 7):
+            rows.clear()
+            found.append(sorted(map(tuple, substring.passages(docs.repartition(n, "doc_id")).collect())))
+            assert rows["seeds"][0] <= n and max(rows["leaders"] + rows["run-leaders"]) <= n
+    scratch.clear(spark, "blocks")
+    assert found[0] == found[1] and [r[0] for r in found[0]] == list(range(1, 30)) and all(r[3] >= 90 for r in found[0])
+
+
 def test_passages_of_stock_phrases(spark):
     """Every seed of the passage stands first in an unrelated document, nine words of it in each."""
     rng = random.Random(14)
