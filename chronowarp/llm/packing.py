@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .arrowed import map_arrow
-from . import scratch
+from . import arrowed, scratch
 
 CAPACITY = 2048
 END_ID = 0
@@ -123,14 +123,9 @@ class _WordIds(dict):
         return out
 
 
-_WORDS: dict[str, _WordIds] = {}
-
-
 def _word_ids(file: str) -> _WordIds:
-    """One cache a worker process, kept from task to task."""
-    if file not in _WORDS:
-        _WORDS[file] = _WordIds(file)
-    return _WORDS[file]
+    """One cache a worker process, kept from task to task while they pack."""
+    return arrowed.held(f"words of {file}", lambda: _WordIds(file))
 
 
 def default_tokenizer() -> str:

@@ -259,9 +259,17 @@ def _answers(blocks: DataFrame, buckets: int, everywhere: bool) -> DataFrame:
     return map_arrow(said.repartitionById(buckets, "bucket"), leaders, "block long, seeds binary, lids binary, lats binary")
 
 
-def _led(blocks: DataFrame, part: str, tag: str, everywhere: bool = False) -> DataFrame:
-    """(block, id, lid, at, lat) of blocks (with ``gone``, documents left out), each but the block a list in bytes:
-    places of seeds that an earlier document holds (``everywhere``: that two documents hold), with their leaders."""
+#: A block's places and leaders, each a list in bytes.
+_LEADERS = "block long, id binary, lid binary, at binary, lat binary"
+
+
+def _in_bytes(block: int, own: np.ndarray, lid: np.ndarray, at: np.ndarray, lat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(_cut(x, np.array([0, len(x)])) for x in (own, lid, at, lat))], names=["block", "id", "lid", "at", "lat"])
+
+
+def _led(blocks: DataFrame, part: str, tag: str, everywhere: bool = False, form=_in_bytes, schema: str = _LEADERS) -> DataFrame:
+    """(block, id, lid, at, lat) of blocks (with ``gone``, documents left out), in the ``form`` of ``schema``: places of
+    seeds that an earlier document holds (``everywhere``: that two documents hold), with their leaders."""
     total = blocks.agg(F.sum(f"places{part}")).first()[0] or 0
     rows = blocks.select("block", "ids", "gone", f"counts{part}", f"seeds{part}", f"at{part}")
     answers = _answers(rows, max(min(LEAST_BUCKETS, 1 + total // 10_000), -(-total // BUCKET)), everywhere)
@@ -282,24 +290,21 @@ def _led(blocks: DataFrame, part: str, tag: str, everywhere: bool = False) -> Da
                 if not everywhere:
                     other = own != lid
                     own, at, lid, lat = own[other], at[other], lid[other], lat[other]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(_cut(x, np.array([0, len(x)])) for x in (own, lid, at, lat))], names=["block", "id", "lid", "at", "lat"])
+                yield form(block, own, lid, at, lat)
 
-    return map_arrow(rows.join(answers.hint("merge"), "block"), run, "block long, id binary, lid binary, at binary, lat binary")
+    return map_arrow(rows.join(answers.hint("merge"), "block"), run, schema)
 
 
 def _near(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks of every shingle of ``RUN`` words that starts less than ``RUN_WINDOW`` words from a thinned one which two
     documents hold."""
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                own, at = (_flat(b.column(k)[i : i + 1], t)[0] for k, t in ((1, np.int64), (3, np.int32)))
-                edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]]), lists], names=["id", "at"])
+    def listed(_: int, own: np.ndarray, lid: np.ndarray, at: np.ndarray, lat: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, dtype=np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]]), lists], names=["id", "at"])
 
-    at = map_arrow(_led(blocks, "_runs", "shared-runs", everywhere=True), listed, "id long, at array<int>")
+    at = _led(blocks, "_runs", "shared-runs", True, listed, "id long, at array<int>")
     at = scratch.materialise(at.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at")), "run-places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,23 +332,16 @@ def _near(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return map_arrow(docs.join(_small(at, "at"), "id").select("id", "text", "at"), run, _Blocks.schema(["_near"]))
 
 
-def _equal_runs(matches: DataFrame) -> DataFrame:
+def _equal_runs(_: int, own: np.ndarray, lid: np.ndarray, at: np.ndarray, lat: np.ndarray) -> pa.RecordBatch:
     """(id, start, stop, lid) of matches: words under shingles of ``RUN`` words of one leader that meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                own, lid, at = (_flat(b.column(k)[i : i + 1], t)[0] for k, t in ((1, np.int64), (2, np.int64), (3, np.int32)))
-                order = np.lexsort((at, lid, own))
-                own, lid, at = own[order], lid[order], at[order]
-                new = np.ones(len(at) + 1, dtype=bool)
-                new[1:-1] = (own[1:] != own[:-1]) | (lid[1:] != lid[:-1]) | (at[1:] > at[:-1] + RUN)
-                edge = np.flatnonzero(new) if len(at) else np.zeros(1, dtype=np.int64)
-                first, last = edge[:-1], edge[1:] - 1
-                columns = [pa.array(own[first]), pa.array(at[first], pa.int32()), pa.array(at[last] + RUN, pa.int32()), pa.array(lid[first], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "stop", "lid"])
-
-    return map_arrow(matches, run, "id long, start int, stop int, lid long")
+    order = np.lexsort((at, lid, own))
+    own, lid, at = own[order], lid[order], at[order]
+    new = np.ones(len(at) + 1, dtype=bool)
+    new[1:-1] = (own[1:] != own[:-1]) | (lid[1:] != lid[:-1]) | (at[1:] > at[:-1] + RUN)
+    edge = np.flatnonzero(new) if len(at) else np.zeros(1, dtype=np.int64)
+    first, last = edge[:-1], edge[1:] - 1
+    columns = [pa.array(own[first]), pa.array(at[first], pa.int32()), pa.array(at[last] + RUN, pa.int32()), pa.array(lid[first], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "start", "stop", "lid"])
 
 
 class _PrefixMax:
@@ -655,7 +653,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = [path for path in scratch.paths(spark) if path not in places]
     near = scratch.materialise(near, "near-runs").withColumn("gone", F.lit(None).cast("array<int>"))
     _freed(spark)  # texts
-    runs = _settled(_equal_runs(_led(near, "_near", "run-leaders")), "equal-runs", held)
+    runs = _settled(_led(near, "_near", "run-leaders", False, _equal_runs, "id long, start int, stop int, lid long"), "equal-runs", held)
     ranges = chained.select("id", F.col("x0").alias("a"), F.col("x1").alias("b")).union(chained.select("lid", "y0", "y1"))
     held = scratch.paths(spark)
     segments = _settled(_segments(docs, ranges.distinct()), "segments", held)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronowarp.llm import components, minhash, packing, pieces, pii, quality, scratch, sharding, substring, textops, toxicity
+from chronowarp.llm import arrowed, components, minhash, packing, pieces, pii, quality, scratch, sharding, substring, textops, toxicity
 
 RNG = random.Random(3)
 VOCABULARY = ["w" + "".join(RNG.choice("aeioulmnrst") for _ in range(5)) for _ in range(3000)]
@@ -196,6 +196,46 @@ def test_seeds_meet_in_blocks(spark, monkeypatch):
     assert found[0] == found[1] and [r[0] for r in found[0]] == list(range(1, 30)) and all(r[3] >= 90 for r in found[0])
 
 
+def test_one_python_worker_a_task(spark, monkeypatch):
+    """No stage of the search has one map above another: each would take a worker of its own for every task."""
+    rng = random.Random(23)
+    shared = " ".join(words(80, rng))
+    most, write = {}, scratch.materialise
+
+    def maps(node, below=0):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return maps(node.initialPlan())
+        below = 0 if "Exchange" in name else below + (name == "MapInArrow")
+        nodes = node.children()
+        return max([below, *(maps(nodes.apply(i), below) for i in range(nodes.size()))])
+
+    def note(df, tag, *more):
+        most[tag] = maps(df._jdf.queryExecution().executedPlan())
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(scratch, "materialise", note)
+    found = substring.passages(corpus(spark, [f"{' '.join(words(20, rng))} {shared}" for _ in range(4)]))
+    most["passages"] = maps(found._jdf.queryExecution().executedPlan())
+    assert found.count() == 3
+    assert {"seeds", "shared-runs", "run-places", "matches", "equal-runs", "passages"} <= most.keys() and set(most.values()) <= {0, 1}, most
+
+
+def test_workers_hold_what_their_task_asks_for():
+    """What packing keeps from task to task goes when a task of another operator ends on its worker."""
+    from pyspark import cloudpickle
+
+    def asks(batches):
+        arrowed.held("words", object)
+        yield from batches
+
+    asks, other = (cloudpickle.loads(cloudpickle.dumps(arrowed.bounded(run))) for run in (asks, lambda batches: batches))
+    assert list(asks(iter([1, 2]))) == [1, 2]
+    made = arrowed._HELD["words"]
+    assert list(asks(iter([]))) == [] and arrowed._HELD["words"] is made
+    assert list(other(iter([3]))) == [3] and "words" not in arrowed._HELD
+
+
 def test_passages_of_stock_phrases(spark):
     """Every seed of the passage stands first in an unrelated document, nine words of it in each."""
     rng = random.Random(14)
