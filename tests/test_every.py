@@ -35,3 +35,8 @@ def same(spark, few, name):
 def test_accuracy_of_every_vector(spark, few):
     assert sum(r[1] for r in same(spark, few, "accuracy_rollup") if r[0] is not None) == 29
     assert {r.label: r.n for r in queries.queries()["accuracy_rollup"](spark, DATA).collect()}[None] == 500
+
+
+def test_neighbours_of_every_vector(spark, few):
+    got = {r[0] for r in same(spark, few, "has_neighbour")}
+    assert {110, 700} <= got and any(i % 100 for i in got)
