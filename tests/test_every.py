@@ -40,3 +40,8 @@ def test_accuracy_of_every_vector(spark, few):
 def test_neighbours_of_every_vector(spark, few):
     got = {r[0] for r in same(spark, few, "has_neighbour")}
     assert {110, 700} <= got and any(i % 100 for i in got)
+
+
+def test_five_nearest_of_every_vector(spark, few):
+    got = same(spark, few, "knn5_dtw")
+    assert len(got) == 29 * 5 and (110, 1, 700, 0.0) in got and (700, 1, 110, 0.0) in got
