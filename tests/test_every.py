@@ -45,3 +45,8 @@ def test_neighbours_of_every_vector(spark, few):
 def test_five_nearest_of_every_vector(spark, few):
     got = same(spark, few, "knn5_dtw")
     assert len(got) == 29 * 5 and (110, 1, 700, 0.0) in got and (700, 1, 110, 0.0) in got
+
+
+def test_windowed_nearest_of_every_vector(spark, few):
+    got = same(spark, few, "nn1_dtw_w5")
+    assert len({r[0] for r in got}) == len(got) == 29 and (700, 1, 110, 0.0) in got
