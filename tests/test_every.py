@@ -50,3 +50,8 @@ def test_five_nearest_of_every_vector(spark, few):
 def test_windowed_nearest_of_every_vector(spark, few):
     got = same(spark, few, "nn1_dtw_w5")
     assert len({r[0] for r in got}) == len(got) == 29 and (700, 1, 110, 0.0) in got
+
+
+def test_novel_among_every_vector(spark, few):
+    got = {r[0] for r in same(spark, few, "novel")}
+    assert {None, 800} <= got and not {110, 700} & got and len(got) > 20
